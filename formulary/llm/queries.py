@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formulary.llm import mixing, packing, quality_rules, simhash_dedup, substring_dedup
+from formulary.llm import embedding_dedup, mixing, packing, quality_rules, simhash_dedup, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +33,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.SQL, "op6_substring_dedup": substring_dedup.SQL}
+    return {"op3_quality_rules": quality_rules.SQL, "op6_substring_dedup": substring_dedup.SQL, "op10_embedding_near_dedup": embedding_dedup.SQL}
