@@ -8,6 +8,7 @@ is shuffled before the sums of an ablation.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,27 +17,28 @@ from pyspark.sql import functions as F
 from formulary.llm.common import SPACE
 
 WINDOW = 8
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclamations", "n_capitals")
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """fails: a condition on the measurements."""
+    """fails: from the measurements (a struct) to a condition."""
 
     name: str
-    fails: str
+    fails: Callable[[Column], Column]
 
 
 #: The position of a rule is its bit and never changes; new rules go to the end.
 RULES = (
-    Rule("few_words", "n_words < 20"),
-    Rule("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
-    Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("word_length", "n_words > 0 and not (5 * n_words <= 2 * word_chars and word_chars <= 15 * n_words)"),
-    Rule("repeated_lines", "n_dup_lines >= 4 and 2 * n_dup_lines > n_lines"),
-    Rule("shouting", "n_words > 0 and 2 * n_exclamations > n_words"),
-    Rule("capitals", "n_words >= 20 and 2 * n_capitals > word_chars"),
+    Rule("few_words", lambda m: m["n_words"] < 20),
+    Rule("repeated_windows", lambda m: m["n_repeat_words"] * 100 > m["n_words"] * 30),
+    Rule("symbols", lambda m: m["n_symbols"] * 10 > m["n_words"]),
+    Rule("word_length", lambda m: (m["n_words"] * 5 > m["word_chars"] * 2) | (m["word_chars"] > m["n_words"] * 15)),
+    Rule("repeated_lines", lambda m: (m["n_dup_lines"] >= 4) & (m["n_dup_lines"] * 2 > m["n_lines"])),
+    Rule("shouting", lambda m: (m["n_words"] > 0) & (m["n_exclamations"] * 2 > m["n_words"])),
+    Rule("capitals", lambda m: (m["n_words"] >= 20) & (m["n_capitals"] * 2 > m["word_chars"])),
 )
 BIT = {rule.name: 1 << k for k, rule in enumerate(RULES)}
 BASE = BIT["few_words"] | BIT["repeated_windows"]
@@ -84,34 +86,48 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(words) <= window, F.lit(0)).otherwise(_let(hashes, count)).cast("long")
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id and the measurements that the rules read."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col), text.alias("_text"), F.filter(F.split(text, SPACE + "+"), lambda w: w != "").alias("_words"))
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.length(_without(x, " \t\n\x0b\f\r")) > 0)
-    solid, size = _without(F.col("_text"), " \t\n\x0b\f\r"), F.length("_text")
-    return rows.select(
-        id_col,
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(solid).cast("long").alias("word_chars"),
-        (size - F.length(_without(F.col("_text"), SYMBOLS))).cast("long").alias("n_symbols"),
-        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("_words")).alias("n_repeat_words"),
-        F.size(lines).cast("long").alias("n_lines"),
-        (size - F.length(_without(F.col("_text"), "!"))).cast("long").alias("n_exclamations"),
-        (size - F.length(_without(F.col("_text"), UPPER))).cast("long").alias("n_capitals"),
-    )
+def facts(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """A struct of a text's measurements and fail_bits, one bit per rule.
+
+    Words, lines and measurements are bound by lambdas, so they are made once wherever the struct
+    is used: a filter that is pushed down doesn't repeat them.
+    """
+    text = F.coalesce(text, F.lit(""))
+    long = lambda c, name: c.cast("long").alias(name)
+    count = lambda chars: F.length(text) - F.length(_without(text, chars))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(_without(x, " \t\n\x0b\f\r")) > 0)
+
+    def measures(words: Column) -> Column:
+        return _let(
+            lines,
+            lambda ls: F.struct(
+                long(F.size(words), "n_words"),
+                long(F.length(_without(text, " \t\n\x0b\f\r")), "word_chars"),
+                long(count(SYMBOLS), "n_symbols"),
+                long(F.size(ls) - F.size(F.array_distinct(ls)), "n_dup_lines"),
+                repeat_words(words).alias("n_repeat_words"),
+                long(F.size(ls), "n_lines"),
+                long(count("!"), "n_exclamations"),
+                long(count(UPPER), "n_capitals"),
+            ),
+        )
+
+    def with_bits(m: Column) -> Column:
+        bits = sum((F.when(rule.fails(m), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(rules)), F.lit(0))
+        return F.struct(*(m[c].alias(c) for c in MEASURES), long(bits, "fail_bits"))
+
+    words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
+    return _let(_let(words, measures), with_bits)
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """measured() with fail_bits, one bit per rule.
+    """One row per document: its id, its measurements and fail_bits.
 
     A null or empty text has no words: it measures 0 throughout and fails few_words. Repeated rows
     and null ids are rows like any other. Other columns of docs are not read, so their names don't
     matter; an empty table gives an empty ledger.
     """
-    bits = sum((F.when(F.expr(rule.fails), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(rules)), F.lit(0))
-    return measured(docs, id_col, text_col).withColumn("fail_bits", bits.cast("long"))
+    return docs.select(F.col(id_col), facts(F.col(text_col), rules).alias("_facts")).select(id_col, "_facts.*")
 
 
 def judged(book: DataFrame, policy: str | int = PRODUCTION) -> DataFrame:
@@ -142,15 +158,9 @@ def ablations(book: DataFrame, policy: str | int = PRODUCTION) -> DataFrame:
 
 
 def kept(docs: DataFrame, policy: str | int = PRODUCTION) -> DataFrame:
-    """The documents that a policy keeps, all their columns as they were.
-
-    Measured and filtered row by row, without a join: a repeated doc_id is judged by its own text.
-    """
-    names = {c.lower() for c in docs.columns}
-    tag = next(f"_row{k}" for k in range(len(names) + 1) if f"_row{k}" not in names)
-    whole = docs.withColumn(tag, F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
-    book = judged(ledger(whole.select(F.col(tag), F.col("text")), id_col=tag), policy)
-    return book.where("kept").select(f"{tag}.*")
+    """The documents that a policy keeps, all their columns as they were: a filter over each row's own text."""
+    mask = POLICIES[policy] if isinstance(policy, str) else policy
+    return docs.where(facts(F.col("text"))["fail_bits"].bitwiseAND(mask | BASE) == 0)
 
 
 #: What the ledger of a table is in DuckDB.
