@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from formulary.llm.common import fold
 
 #: At most about so many labelled documents are fitted on, chosen by the hash of their id.
-SAMPLE = 16_000
+SAMPLE = 7_000
 TOKEN = re.compile(r"\w+")
 FOLDS = 5
 
