@@ -117,7 +117,7 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> pd.DataFrame:
     for r in counts:
         share = F.when(F.col("lang") == r["lang"], int((1 << 30) * min(1.0, per_language / r["count"]))).otherwise(share)
     got = rows.where(slot < share).select("text", "lang", slot.alias("order")).orderBy("order", "text").toPandas()
-    return got[[has_letter(t) for t in got["text"]]]
+    return got[np.array([has_letter(t) for t in got["text"]], bool)]
 
 
 def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
