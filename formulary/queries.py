@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formulary.functions import latex, spoken
-from formulary.operators import datasets, scoring, selection
+from formulary.operators import datasets, normalize, scoring, selection
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -361,3 +361,18 @@ _SAID = f"CASE WHEN n < 20 THEN {_ONES}[n + 1] WHEN n < 100 THEN {_TENS}[n // 10
 def numbers_in_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, n = F.col("p_partkey"), (F.col("p_partkey") % 150).cast("int")
     return table(spark, sf_dir, "part").select(key.alias("id"), spoken.say_integer(F.when(key % 3 == 0, -n).otherwise(n)).alias("said"))
+
+
+@query(None)
+def normalized_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spoken formulas to LaTeX and to text; tests hold the reader and the renderer against known results."""
+    rows = normalize.canonicalized(derived(spark, sf_dir, SPOKEN, "part"), "said")
+    return rows.select("id", "said", "result.latex", "result.confidence", "result.method", "result.is_math", normalize.text_of("result.latex").alias("shown"))
+
+
+@query(None)
+def metrics_by_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of raw predictions and of the same through the rules."""
+    said = derived(spark, sf_dir, SPOKEN, "part").select("id", F.lit("asr").alias("system"), F.col("said").alias("hyp"), F.concat(F.lit("x^2 = "), F.col("size").cast("string")).alias("target_text"))
+    rows = normalize.viewed(said, [("raw", "asr", False), ("rules", "asr", True)])
+    return scoring.aggregated(scoring.scored(rows), "view")
