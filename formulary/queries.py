@@ -376,3 +376,11 @@ def metrics_by_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = derived(spark, sf_dir, SPOKEN, "part").select("id", F.lit("asr").alias("system"), F.col("said").alias("hyp"), F.concat(F.lit("x^2 = "), F.col("size").cast("string")).alias("target_text"))
     rows = normalize.viewed(said, [("raw", "asr", False), ("rules", "asr", True)])
     return scoring.aggregated(scoring.scored(rows), "view")
+
+
+@query(None)
+def formula_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many drawn formulas as there are parts; tests hold their properties."""
+    from formulary.sources.formulas import expressions
+
+    return expressions(spark, table(spark, sf_dir, "part").count(), seed=1)
