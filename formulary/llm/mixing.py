@@ -22,7 +22,7 @@ BLOCK, SEED = 128, 20240
 #: Slots of a shard, and the most shards: beyond, shards grow instead.
 SHARD, SHARDS = 1 << 16, 4096
 #: Documents that one stretch of a source's stream holds, about.
-STRETCH = 20_000
+STRETCH = 2_000
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str | None, float]:
