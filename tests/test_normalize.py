@@ -1,9 +1,5 @@
-"""Spoken formulas against known LaTeX, and published scores of the rules on stored predictions."""
+"""Spoken formulas against known LaTeX."""
 
-import json
-from pathlib import Path
-
-import pytest
 from pyspark.sql import functions as F
 
 from formulary.functions.latex import norm_latex
