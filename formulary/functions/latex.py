@@ -56,11 +56,18 @@ def bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+#: One character for each of so many distinct items: private-use ones.
+_CODES = "".join(map(chr, range(0xE000, 0xF900)))
+
+
 def edit_distance(a: Column, b: Column) -> Column:
-    """Unit-cost edits between two arrays: each distinct item stands for one private-use character, and the strings are compared."""
+    """Unit-cost edits between two arrays: each distinct item stands for one character, and the strings are compared. Beyond 6,400 distinct items characters of the further planes follow."""
+
+    def code(k: Column) -> Column:
+        return F.when(k <= len(_CODES), F.substr(F.lit(_CODES), k.cast("int"), F.lit(1))).otherwise(F.decode(F.unhex(F.lpad(F.hex(k + 0x20000), 8, "0")), "UTF-32"))
 
     def apart(s: Column) -> Column:
-        coded = lambda x: F.array_join(F.transform(x, lambda t: F.decode(F.unhex(F.hex(F.array_position(s["kinds"], t) + 0xE000)), "UTF-16BE")), "")
+        coded = lambda x: F.array_join(F.transform(x, lambda t: code(F.array_position(s["kinds"], t))), "")
         return F.levenshtein(coded(s["a"]), coded(s["b"]))
 
     pair = F.struct(a.alias("a"), b.alias("b"))
@@ -70,7 +77,7 @@ def edit_distance(a: Column, b: Column) -> Column:
 def token_edit(hyp: Column, ref: Column) -> Column:
     """Token edits over the reference's tokens (at least one), for normal forms."""
     r = tokens(ref)
-    return edit_distance(tokens(hyp), r) / F.greatest(F.lit(1), F.size(r))
+    return F.when(hyp == ref, 0.0).otherwise(edit_distance(tokens(hyp), r) / F.greatest(F.lit(1), F.size(r)))
 
 
 def multiset_hits(hyp: Column, ref: Column) -> Column:
