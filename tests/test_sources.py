@@ -43,3 +43,14 @@ def test_splits_come_from_file_names(spark, tmp_path):
     write_lines(rows, str(tmp_path / "out"))
     write_lines(rows.limit(0), str(tmp_path / "out"), once=True)
     assert spark.read.json(str(tmp_path / "out")).count() == 5
+
+
+def test_reports(spark):
+    import json
+
+    from formulary.sources.report import document, markdown, page
+
+    rows = spark.createDataFrame([("a|b", 0.5, None), ("<c>", 1.0, 2)], "name string, share double, n int")
+    assert json.loads(document(rows, "name")) == {"a|b": {"share": 0.5, "n": None}, "<c>": {"share": 1.0, "n": 2}}
+    assert markdown(rows).splitlines()[2] == "| a\\|b | 0.500 |  |"
+    assert "&lt;c&gt;" in page(rows, "x") and page(rows, "x").count("<tr>") == 3
