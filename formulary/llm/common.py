@@ -27,7 +27,7 @@ def fold(column: Column, of: int) -> Column:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. One of our own is made only where the session names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         named = tempfile.mkdtemp(prefix="formulary-")
         spark.sparkContext._conf.set("spark.checkpoint.dir", named)

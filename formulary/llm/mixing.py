@@ -90,11 +90,13 @@ class Mix:
     A null or empty text has size 0 and gives no words. A null source is a source. Repeated rows are
     documents of their own; rows with a null id too. An empty table gives an empty mix. Other columns
     of docs aren't read. Sources are few enough to list on the driver (labels of a mix, not hosts).
+    once: rows with the same id are one document.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = SEED) -> None:
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = SEED, once: bool = False) -> None:
         self.block, self.seed, self.spark = block, seed, docs.sparkSession
-        self.sizes = stored(sized(docs, id_col, text_col, source_col), "sizes")
+        rows = sized(docs, id_col, text_col, source_col)
+        self.sizes = stored(rows.dropDuplicates(["doc_id"]) if once else rows, "sizes")
         totals = self.sizes.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()
         self.stretches = max(1, -(-sum(r["docs"] for r in totals) // STRETCH))
         stretch = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(self.stretches)).cast("int")
@@ -183,11 +185,12 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix as rows with the columns of docs: a row for each run of words taken, a whole document keeping its text as it was.
 
     Runs of a part of a document are its words joined by single spaces; n_chars follows the text. A
-    document is named by doc_id, which must be unique here; rows without an id or without words are
-    not taken.
+    document is named by doc_id: repeated rows are one document. Rows without an id or without words
+    are not taken.
     """
-    mix = Mix(docs.where("doc_id is not null"), **how)
+    mix = Mix(docs.where("doc_id is not null"), once=True, **how)
     rows = docs.join(mix.spans().withColumnsRenamed({"from_word": "_from", "to_word": "_to", "size": "_size", "copy": "_copy"}), "doc_id")
+    rows = rows.dropDuplicates(["doc_id", "_copy", "_from"])  # dealt by doc_id already
     words = F.filter(F.split("text", SPACE + "+"), lambda w: w != "")
     part = F.array_join(F.slice(words, (F.col("_from") + 1).cast("int"), (F.col("_to") - F.col("_from")).cast("int")), " ")
     rows = rows.withColumn("text", F.when((F.col("_from") == 0) & (F.col("_to") == F.col("_size")), F.col("text")).otherwise(part))

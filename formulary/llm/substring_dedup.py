@@ -221,9 +221,10 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """The documents without their repeated words; all their columns, n_chars following the text. A document that loses every word stays, with an empty text.
 
-    A document is named by doc_id, which must be unique here. Rows without an id stay as they are.
+    A document is named by doc_id: repeated rows get the same text. Rows without an id stay as they are.
     """
-    left = repeats_removed(docs.where("doc_id is not null"), span=span, with_text=True).where("n_removed > 0").select("doc_id", F.col("kept_text").alias("_kept"))
+    left = repeats_removed(docs.where("doc_id is not null"), span=span, with_text=True).where("n_removed > 0")
+    left = left.select("doc_id", F.col("kept_text").alias("_kept")).dropDuplicates(["doc_id"])
     rows = docs.join(left, "doc_id", "left").withColumn("text", F.coalesce("_kept", "text"))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

@@ -179,7 +179,7 @@ def test_targets_share_the_excess():
 
 def test_mixed_documents_hold_what_is_taken(docs):
     unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    rows = mixing.mixed_documents(unique, block=8)
+    rows = mixing.mixed_documents(docs, block=8)  # with a repeated row, and rows without an id
     assert rows.columns == docs.columns
     got = Counter()
     for r in rows.select("doc_id", "text").collect():
@@ -202,6 +202,7 @@ def test_repeats_are_removed_exactly(docs, none):
     assert Counter(tuple(r[:4]) for r in out) == want
     assert all(hashlib.sha256(b" ".join(words(r["kept_text"]))).hexdigest() == r["kept_sha256"] for r in out)
     assert substring_dedup.repeats_removed(none).count() == 0
+    assert substring_dedup.deduplicated(docs).count() == docs.count()
 
 
 def naive_fingerprint(text):
