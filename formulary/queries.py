@@ -176,6 +176,16 @@ def word_error_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.word_errors(c.withColumn("hyp", hyp), "role", ref="text")
 
 
+@query(None)
+def word_error_by_role_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word_error_by_role over every turn, long ones and nulls (which count as empty) too; tests hold it against a plain word edit distance.
+
+    DuckDB's levenshtein compares bytes, so it can't check turns of many distinct words.
+    """
+    hyp = F.regexp_replace(F.regexp_replace("text", r"(\w+) (\w+)\.", "$2 $1"), " t", " ")
+    return scoring.word_errors(table(spark, sf_dir, "conversations").withColumn("hyp", hyp), "role", ref="text")
+
+
 # -- splits, caps, merges ------------------------------------------------------------------------
 
 _SHARE = lambda x, of: f"((('0x' || substr(md5({x}), 1, 16))::UBIGINT::HUGEINT % {of}) * {pow(2, 64, of)} + (('0x' || substr(md5({x}), 17, 16))::UBIGINT::HUGEINT % {of})) % {of}"
