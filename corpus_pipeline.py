@@ -24,13 +24,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without words that a passage of 50 words or more repeats from a document with a smaller id."""
+    """Documents without words that a passage of 50 words or more repeats from a document with a smaller id; rows without an id come last."""
     return substring_dedup.deduplicated(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes, as documents or runs of them; a document that is taken twice comes twice."""
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_rows(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space that ends a word, for Java and DuckDB patterns. bytes.split() cuts at the same six characters.
@@ -54,6 +54,25 @@ def dropped(df: DataFrame | None) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def keyed(docs: DataFrame, into: str = "_row", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with a whole number that tells rows apart, to link, order and join by: the id where it has one row.
+
+    Of rows that share an id one, by the hash of its text, has the id; the others, and rows without an
+    id, come after all ids. Only where there are such rows is a copy of docs stored, which fixes their numbers.
+    """
+    own = docs.where(F.col(id_col).isNotNull())
+    shared = own.groupBy(id_col).count().where("count > 1").limit(1).count()
+    lacking = docs.where(F.col(id_col).isNull())
+    if not shared and not lacking.limit(1).count():
+        return docs.withColumn(into, F.col(id_col).cast("long"))
+    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
+    rows = own.withColumn("_nth", nth).unionByName(lacking.withColumn("_nth", F.lit(2)))
+    rows = stored(rows.withColumn("_at", F.monotonically_increasing_id()), "keyed")
+    past = own.agg(F.max(id_col)).first()[0]
+    after = F.lit(0 if past is None else past + 1).cast("long") + F.col("_at")
+    return rows.withColumn(into, F.when(F.col("_nth") == 1, F.col(id_col).cast("long")).otherwise(after)).drop("_nth", "_at")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (shift, multiply), for hashes made from sums."""
     x = x ^ (x >> np.uint64(31))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formulary.llm.common import SPACE, WORD, mix64, stored
+from formulary.llm.common import SPACE, WORD, keyed, mix64, stored
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 BLOCK, SEED = 128, 20240
@@ -189,11 +189,23 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     are not taken.
     """
     mix = Mix(docs.where("doc_id is not null"), once=True, **how)
-    rows = docs.join(mix.spans().withColumnsRenamed({"from_word": "_from", "to_word": "_to", "size": "_size", "copy": "_copy"}), "doc_id")
-    rows = rows.dropDuplicates(["doc_id", "_copy", "_from"])  # dealt by doc_id already
+    return _cut(docs, mix, "doc_id").select(docs.columns)
+
+
+def mixed_rows(docs: DataFrame, **how) -> DataFrame:
+    """mixed_documents() where every row is a document, also rows without an id and rows that share one. Rows without words are not taken."""
+    rows = keyed(docs)
+    return _cut(rows, Mix(rows, id_col="_row", **how), "_row").select(docs.columns)
+
+
+def _cut(docs: DataFrame, mix: Mix, key: str) -> DataFrame:
+    """A row for each run of words that the mix takes of the documents named by key."""
+    runs = mix.spans().withColumnsRenamed({"doc_id": "_key", "from_word": "_from", "to_word": "_to", "size": "_size", "copy": "_copy"})
+    rows = docs.join(runs, docs[key] == runs["_key"])
+    rows = rows.dropDuplicates([key, "_copy", "_from"])  # dealt by key already
     words = F.filter(F.split("text", SPACE + "+"), lambda w: w != "")
     part = F.array_join(F.slice(words, (F.col("_from") + 1).cast("int"), (F.col("_to") - F.col("_from")).cast("int")), " ")
     rows = rows.withColumn("text", F.when((F.col("_from") == 0) & (F.col("_to") == F.col("_size")), F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(docs.columns)
+    return rows

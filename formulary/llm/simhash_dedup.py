@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formulary.llm import shingle_join
-from formulary.llm.common import ascii_words, mix64, stored
+from formulary.llm.common import ascii_words, keyed, mix64, stored
 from formulary.llm.components import Forest, components
 
 SEED = 42
@@ -265,11 +265,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents of which each group keeps one, the smallest doc_id; all their columns. Rows without an id stay.
+    """The documents of which each group keeps one, the smallest doc_id; all their columns.
 
     Links are exact (shingle_join): a Jaccard similarity of 0.8 or more of five-word shingles, which
-    fingerprints only estimate.
+    fingerprints only estimate. Rows that share an id are documents of their own, and so are rows
+    without one, which come after all ids.
     """
-    own = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    found = stored(shingle_join.firsts(own.select(F.col("doc_id").cast("long").alias("row"), "text")), "kept").withColumnRenamed("row", "doc_id")
-    return own.join(found, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = keyed(docs)
+    found = stored(shingle_join.firsts(rows.select(F.col("_row").alias("row"), "text")), "kept").withColumnRenamed("row", "_row")
+    return rows.join(found, "_row", "left_semi").select(docs.columns)

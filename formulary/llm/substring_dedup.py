@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formulary.llm.common import Rolling, stored
+from formulary.llm.common import Rolling, keyed, stored
 
 SPAN, BUCKET_BYTES, GROUP_WINDOWS = 50, 4 << 20, 2_000_000
 #: Null ids come after all others.
@@ -221,14 +221,15 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """The documents without their repeated words; all their columns, n_chars following the text. A document that loses every word stays, with an empty text.
 
-    A document is named by doc_id: repeated rows get the same text. Rows without an id stay as they are.
+    Rows that share an id are documents of their own, and so are rows without one, which come after all ids.
     """
-    left = repeats_removed(docs.where("doc_id is not null"), span=span, with_text=True).where("n_removed > 0")
-    left = left.select("doc_id", F.col("kept_text").alias("_kept")).dropDuplicates(["doc_id"])
-    rows = docs.join(left, "doc_id", "left").withColumn("text", F.coalesce("_kept", "text"))
+    docs, columns = keyed(docs), docs.columns
+    left = repeats_removed(docs, "_row", span=span, with_text=True).where("n_removed > 0")
+    left = left.select(F.col("doc_id").alias("_row"), F.col("kept_text").alias("_kept"))
+    rows = docs.join(left, "_row", "left").withColumn("text", F.coalesce("_kept", "text"))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(docs.columns)
+    return rows.select(columns)
 
 
 #: What repeats_removed gives in DuckDB, where ids are unique and not null.

@@ -51,3 +51,29 @@ def test_near_duplicates_are_exact(spark, common):
     gone |= {5000 - step for step in range(4)}
     kept = {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").collect()}
     assert {i for i, *_ in rows} - kept == gone
+
+
+def test_rows_without_an_id_and_rows_that_share_one_stay_in_the_pipeline(spark):
+    r = random.Random(2)
+    make = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    passage, copy = make(60), make(80)
+    rows = [(k, make(r.randint(30, 200)), "ab"[k % 2]) for k in range(30)]
+    rows += [(None, make(100), "a") for _ in range(15)]
+    rows += [(7, make(90), "a"), (7, make(70), "b")]  # one id, other texts
+    rows += [(40, copy, "a"), (None, copy, "a"), (None, copy, "a")]  # rows without an id are copies like any other
+    rows += [(41, f"{make(50)} {passage}", "b"), (None, f"{make(60)} {passage}", "b"), (7, f"{passage} {make(75)}", "a")]
+    docs = frame(spark, rows).cache()
+    near = corpus_pipeline.near_duplicates(spark, docs, "").cache()
+    assert sorted(x["text"] for x in near.collect()) == sorted({t for _, t, _ in rows})
+    assert [x["doc_id"] for x in near.collect() if x["text"] == copy] == [40]
+    left = corpus_pipeline.repeated_passages(spark, near, "").cache()
+    want = {t if passage not in t or i == 41 else t.replace(passage, "").strip() for i, t, _ in rows}
+    assert {" ".join(x["text"].split()) for x in left.collect()} == want
+    out = corpus_pipeline.source_mix(spark, left, "").collect()
+    size = sum(len(x["text"].split()) for x in left.collect())
+    assert abs(sum(len(x["text"].split()) for x in out) - 1.5 * size) <= 0.1 * size
+    seen = {x["doc_id"] for x in out}
+    taken = {w for x in out for w in x["text"].split()}
+    share = lambda some: sum(w in taken for t in some for w in t.split()) / sum(len(t.split()) for t in some)
+    assert None in seen and share([x["text"] for x in left.collect() if x["doc_id"] is None]) > 0.5
+    assert share([x["text"] for x in left.collect() if x["doc_id"] == 7]) > 0.5
