@@ -42,40 +42,38 @@ def alike(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = LEAST) -> bool:
 
 
 def _sets(rows: DataFrame, length: int) -> DataFrame:
-    """(row, same, hashes) from (row, text): same is equal for equal sets, and a row's own without words."""
+    """(row, hashes) from (row, text). Sets are as long as texts, so they are made where they are needed and not stored."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rolling = Rolling()
         for b in batches:
-            sets = [shingles(t, rolling, length).tobytes() for t in b["text"]]
-            same = [hashlib.blake2b(s, digest_size=16).digest() if s else b"row %d" % r for s, r in zip(sets, b["row"], strict=True)]
-            yield pd.DataFrame({"row": b["row"], "same": same, "hashes": sets})
+            yield pd.DataFrame({"row": b["row"], "hashes": [shingles(t, rolling, length).tobytes() for t in b["text"]]})
 
-    return rows.mapInPandas(make, "row long, same binary, hashes binary")
+    return rows.select("row", "text").mapInPandas(make, "row long, hashes binary")
 
 
-def _common(sets: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _common(rows: DataFrame, n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are often seen, sorted, and how often."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"x": np.frombuffer(b"".join(b["hashes"]), np.int64)})
 
-    some = sets.where(F.pmod(F.xxhash64("row", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * min(1, LEARNED / max(1, n))))
-    seen = some.select("hashes").mapInPandas(spread, "x long").groupBy("x").count().where("count > 3")
+    some = rows.where(F.pmod(F.xxhash64("row", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * min(1, LEARNED / max(1, n))))
+    seen = _sets(some, length).select("hashes").mapInPandas(spread, "x long").groupBy("x").count().where("count > 3")
     found = seen.orderBy(F.desc("count"), "x").limit(TOLD).toPandas().sort_values("x")
     return found["x"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
 
 
-def _heads(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], least: tuple[int, int]) -> DataFrame:
-    """(row, same, n, head): the shingles of which a similar set has one in its own head."""
-    told = sets.sparkSession.sparkContext.broadcast(common)
+def _heads(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], length: int, least: tuple[int, int]) -> DataFrame:
+    """(row, same, n, head): same is equal for equal sets, and a row's own without words; a similar set has one of the shingles of the head in its own."""
+    told = rows.sparkSession.sparkContext.broadcast(common)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, counts = told.value
         for b in batches:
-            heads, sizes = [], []
-            for raw in b["hashes"]:
+            same, heads, sizes = [], [], []
+            for row, raw in zip(b["row"], b["hashes"], strict=True):
                 x = np.frombuffer(raw, np.int64)
                 n = len(x)
                 often = np.zeros(n, np.int64)
@@ -83,24 +81,36 @@ def _heads(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], least: tuple[
                     at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
                     often = np.where(keys[at] == x, counts[at], 0)
                 heads.append(x[np.lexsort((x, often))[: n + (-least[0] * n // least[1]) + 1]] if n else x)
+                same.append(hashlib.blake2b(raw, digest_size=16).digest() if n else b"row %d" % row)
                 sizes.append(n)
-            yield pd.DataFrame({"row": b["row"], "same": b["same"], "n": sizes, "head": heads})
+            yield pd.DataFrame({"row": b["row"], "same": same, "n": sizes, "head": heads})
 
-    return sets.mapInPandas(make, "row long, same binary, n long, head array<long>")
+    return _sets(rows, length).mapInPandas(make, "row long, same binary, n long, head array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of rows that are similar by their whole sets."""
+def _verified(pairs: DataFrame, heads: DataFrame, rows: DataFrame, length: int, least: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of rows that are similar by their whole sets.
+
+    Of the head that ends first, every shared shingle is in the other head too; so two sets share
+    no more than their heads do and the longer rest. Pairs for which that is too few go first.
+    """
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             good = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) for x, y in zip(b["x"], b["y"], strict=True)]
             yield b.loc[np.array(good, bool), ["a", "b"]]
 
-    nodes = stored(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "compared")
-    some = stored(sets.select("row", "hashes").join(nodes, "row", "left_semi"), "compared-sets")
-    left, right = (some.select(F.col("row").alias(k), F.col("hashes").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(check, "a long, b long"), "links")
+    def of(table: DataFrame, side: str, pairs: DataFrame) -> DataFrame:
+        """The rows of a table that are on one side of the pairs."""
+        return table.join(stored(pairs.select(F.col(side).alias("row")).distinct(), "compared"), "row", "left_semi")
+
+    p, q = least
+    left, right = (of(heads, k, pairs).select(F.col("row").alias(k), F.col("n").alias(f"n{k}"), F.col("head").alias(f"h{k}")) for k in "ab")
+    upto = F.size(F.array_intersect("ha", "hb")) + F.greatest(F.col("na") - F.size("ha"), F.col("nb") - F.size("hb"))
+    able = (F.least("na", "nb") * q >= F.greatest("na", "nb") * p) & (upto * (p + q) >= (F.col("na") + F.col("nb")) * p)
+    some = stored(pairs.join(right, "b").join(left, "a").where(able).select("a", "b"), "able")
+    left, right = (_sets(of(rows, k, some), length).select(F.col("row").alias(k), F.col("hashes").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return stored(some.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInPandas(check, "a long, b long"), "links")
 
 
 def firsts(rows: DataFrame, length: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
@@ -109,23 +119,22 @@ def firsts(rows: DataFrame, length: int = SHINGLE, least: tuple[int, int] = LEAS
     Equal sets are one from the start. A text without words is similar to none. An empty table gives
     no rows.
     """
-    sets = stored(_sets(rows, length), "shingles")
-    heads = stored(_heads(sets, _common(sets, sets.count()), least), "heads")
+    heads = stored(_heads(rows, _common(rows, rows.count(), length), length, least), "heads")
     one = stored(heads.groupBy("same").agg(F.min("row").alias("row")).select("row"), "classes")
-    every = heads.join(one, "row", "left_semi").select("row", "n", F.explode("head").alias("shingle"))
+    every = heads.join(one, "row", "left_semi").select("row", F.explode("head").alias("shingle"))
     there = Window.partitionBy("shingle")
     met = every.withColumns({"least": F.min("row").over(there), "times": F.count("*").over(there)}).where("times > 1").drop("times")
     met = stored(met, "met")
     pairs = stored(met.where("row <> least").select(F.col("least").alias("a"), F.col("row").alias("b")).distinct(), "pairs")
-    links = _verified(pairs, sets, least)
+    links = _verified(pairs, heads, rows, length, least)
     group = stored(components(links), "groups")
-    named = met.join(group, met["row"] == group["node"], "left").select("shingle", "row", "n", "least", F.coalesce("component", "row").alias("group"))
+    named = met.join(group, met["row"] == group["node"], "left").select("shingle", "row", "least", F.coalesce("component", "row").alias("group"))
     apart = named.groupBy("shingle").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("shingle")
     named = stored(named.where("row <> least").join(apart, "shingle", "left_semi"), "apart")  # pairs with the smallest row are settled
     x, y = named.alias("x"), named.alias("y")
-    near = f"x.shingle = y.shingle and x.row < y.row and x.group <> y.group and x.n * {least[1]} >= y.n * {least[0]} and y.n * {least[1]} >= x.n * {least[0]}"
-    rest = stored(x.join(y, F.expr(near)).select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct(), "pairs")
-    more = _verified(rest, sets, least)
+    near = F.expr("x.shingle = y.shingle and x.row < y.row and x.group <> y.group")
+    rest = stored(x.join(y, near).select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct(), "pairs")
+    more = _verified(rest, heads, rows, length, least)
     if more.limit(1).count():
         group = stored(components(links.unionByName(more)), "groups")
     return one.join(group.where("node <> component").select(F.col("node").alias("row")), "row", "left_anti")
