@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from formulary.llm import mixing, packing, quality_rules, simhash_dedup, substring_dedup
-from formulary.llm.common import stored
+from formulary.llm.common import dropped, settled
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
+    """One document, the smallest doc_id, of each group of near-duplicates: fingerprints pruned by chains, then a Jaccard similarity of 0.8 or more of five-word shingles."""
     return simhash_dedup.deduplicated(docs)
 
 
@@ -53,8 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. What a stage keeps is written and read again, as the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents. What a stage keeps is written and read again, as the next one's input; what it stored on its way, and then that input, is deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: The white space that ends a word, for Java and DuckDB patterns. bytes.split() cuts at the same six characters.
 SPACE = r"[\x20\x09-\x0D]"
@@ -25,36 +30,92 @@ def fold(column: Column, of: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % of
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def per_text(docs: DataFrame, id_col: str, text_col: str, start: Callable[[], Callable[[list], list]], fields: str) -> DataFrame:
+    """(doc_id, *fields): one row per row of docs. start() is called once a task and gives a function from texts to the fields' columns.
+
+    Ids stay in Arrow and are handed on untouched: as pandas columns a null among them would turn them all into floats.
+    """
+    schema = to_arrow_schema(StructType.fromDDL("doc_id long, " + fields))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for b in batches:
+            made = make(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(made, list(schema)[1:], strict=True))], schema=schema)
+
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    return read.mapInArrow(run, "doc_id long, " + fields)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One of our own is made only where the session names none."""
+    """The folder that driver and executors share. Only a local session that names none gets one of our own: elsewhere it would be a folder of the driver alone."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="formulary-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", named)
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+#: For each scratch() that is open, the tables stored in it.
+_OPEN: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once to the shared folder and read again: their lineage ends here, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/formulary-{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def dropped(df: DataFrame | None) -> None:
     """Deletes what stored() wrote, once nothing reads it any more."""
     path = getattr(df, "_stored_at", None)
     if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end, also after an error, the tables that were stored within."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            _delete(spark, path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """stored(make()); the tables that make() stored on its way are deleted."""
+    with scratch(spark):
+        out = stored(make(), name)
+        _OPEN[-1].remove(out._stored_at)
+    if _OPEN:
+        _OPEN[-1].append(out._stored_at)
+    return out
 
 
-def keyed(docs: DataFrame, into: str = "_row", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keyed(docs: DataFrame, into: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with a whole number that tells rows apart, to link, order and join by: the id where it has one row.
 
     Of rows that share an id one, by the hash of its text, has the id; the others, and rows without an
@@ -65,12 +126,14 @@ def keyed(docs: DataFrame, into: str = "_row", id_col: str = "doc_id", text_col:
     lacking = docs.where(F.col(id_col).isNull())
     if not shared and not lacking.limit(1).count():
         return docs.withColumn(into, F.col(id_col).cast("long"))
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    rows = own.withColumn("_nth", nth).unionByName(lacking.withColumn("_nth", F.lit(2)))
-    rows = stored(rows.withColumn("_at", F.monotonically_increasing_id()), "keyed")
+    at = fresh(docs.withColumn(into, F.lit(0)), "_at")
+    rows = stored(docs.withColumn(at, F.monotonically_increasing_id()), "keyed")
+    pick = F.min(F.struct(F.xxhash64(text_col).alias("hash"), F.col(at).alias("at")))["at"]
+    first = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(into)).agg(pick.alias("first"))
+    first = first.select(F.col("first").alias(at), into)  # of a hot id, one row joins
     past = own.agg(F.max(id_col)).first()[0]
-    after = F.lit(0 if past is None else past + 1).cast("long") + F.col("_at")
-    return rows.withColumn(into, F.when(F.col("_nth") == 1, F.col(id_col).cast("long")).otherwise(after)).drop("_nth", "_at")
+    after = F.lit(0 if past is None else past + 1).cast("long") + F.col(at)
+    return rows.join(first, at, "left").withColumn(into, F.coalesce(F.col(into).cast("long"), after)).select(*docs.columns, into)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -1,20 +1,19 @@
-"""Texts whose sets of shingles have a Jaccard similarity of 0.8 or more: an exact join by prefixes.
+"""Pairs of texts whose sets of shingles have a Jaccard similarity of 0.8 or more: where they meet, and the exact comparison.
 
 The shingles of all texts have one order, about from rare to common. Two sets of a similarity of t
-share a shingle among the first n - ceil(t * n) + 1 of each, so texts that meet in none of these are
-not compared, and every pair that meets has its similarity counted on the whole sets. Texts that
-meet in a shingle are first compared with the smallest row there; then those that are still in
-different components, with each other.
+share a shingle among the first n - ceil(t * n) + 1 of each, its head, so texts that meet in none of
+these need no comparison. Pairs that meet are pruned by a sketch that the caller gives, and what is
+left has its similarity counted on the whole sets.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formulary.llm.common import Rolling, stored
@@ -65,76 +64,84 @@ def _common(rows: DataFrame, n: int, length: int) -> tuple[np.ndarray, np.ndarra
     return found["x"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
 
 
-def _heads(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], length: int, least: tuple[int, int]) -> DataFrame:
-    """(row, same, n, head): same is equal for equal sets, and a row's own without words; a similar set has one of the shingles of the head in its own."""
+def _heads(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], length: int, least: tuple[int, int], sketch: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """(row, same, n, sketch, head): same is equal for equal sets, and a row's own without words; a similar set has one of the shingles of the head in its own."""
     told = rows.sparkSession.sparkContext.broadcast(common)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, counts = told.value
+        rolling = Rolling()
         for b in batches:
-            same, heads, sizes = [], [], []
-            for row, raw in zip(b["row"], b["hashes"], strict=True):
-                x = np.frombuffer(raw, np.int64)
-                n = len(x)
+            out = []
+            for row, text in zip(b["row"].tolist(), b["text"], strict=True):
+                hashes = shingles(text, rolling, length)
+                x, n = hashes.view(np.int64), len(hashes)
                 often = np.zeros(n, np.int64)
                 if len(keys) and n:
                     at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
                     often = np.where(keys[at] == x, counts[at], 0)
-                heads.append(x[np.lexsort((x, often))[: n + (-least[0] * n // least[1]) + 1]] if n else x)
-                same.append(hashlib.blake2b(raw, digest_size=16).digest() if n else b"row %d" % row)
-                sizes.append(n)
-            yield pd.DataFrame({"row": b["row"], "same": same, "n": sizes, "head": heads})
+                head = x[np.argsort(often, kind="stable")[: n + (-least[0] * n // least[1]) + 1]] if n else x
+                out.append((row, hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if n else b"row %d" % row, n, sketch(hashes), head))
+            yield pd.DataFrame(out, columns=["row", "same", "n", "sketch", "head"])
 
-    return _sets(rows, length).mapInPandas(make, "row long, same binary, n long, head array<long>")
+    return rows.select("row", "text").mapInPandas(make, "row long, same binary, n long, sketch binary, head array<long>")
 
 
-def _verified(pairs: DataFrame, heads: DataFrame, rows: DataFrame, length: int, least: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of rows that are similar by their whole sets.
+def _pruned(pairs: DataFrame, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """The pairs (a, b) whose sketches (x, y) pass, once each."""
 
-    Of the head that ends first, every shared shingle is in the other head too; so two sets share
-    no more than their heads do and the longer rest. Pairs for which that is too few go first.
-    """
+    def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield b.loc[keep(*(np.frombuffer(b"".join(b[c]), np.uint64).reshape(len(b), -1) for c in "xy")), ["a", "b"]]
+
+    return pairs.select("a", "b", "x", "y").mapInPandas(prune, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, length: int, least: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of rows that are similar by their whole sets."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             good = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) for x, y in zip(b["x"], b["y"], strict=True)]
             yield b.loc[np.array(good, bool), ["a", "b"]]
 
-    def of(table: DataFrame, side: str, pairs: DataFrame) -> DataFrame:
-        """The rows of a table that are on one side of the pairs."""
-        return table.join(stored(pairs.select(F.col(side).alias("row")).distinct(), "compared"), "row", "left_semi")
+    def sets(side: str, into: str) -> DataFrame:
+        some = rows.join(pairs.select(F.col(side).alias("row")).distinct(), "row", "left_semi")
+        return _sets(some, length).select(F.col("row").alias(side), F.col("hashes").alias(into))
 
-    p, q = least
-    left, right = (of(heads, k, pairs).select(F.col("row").alias(k), F.col("n").alias(f"n{k}"), F.col("head").alias(f"h{k}")) for k in "ab")
-    upto = F.size(F.array_intersect("ha", "hb")) + F.greatest(F.col("na") - F.size("ha"), F.col("nb") - F.size("hb"))
-    able = (F.least("na", "nb") * q >= F.greatest("na", "nb") * p) & (upto * (p + q) >= (F.col("na") + F.col("nb")) * p)
-    some = stored(pairs.join(right, "b").join(left, "a").where(able).select("a", "b"), "able")
-    left, right = (_sets(of(rows, k, some), length).select(F.col("row").alias(k), F.col("hashes").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return stored(some.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInPandas(check, "a long, b long"), "links")
+    return pairs.join(sets("b", "y"), "b").join(sets("a", "x"), "a").select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
 
 
-def firsts(rows: DataFrame, length: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
+def firsts(rows: DataFrame, sketch: Callable[[np.ndarray], bytes], keep: Callable[[np.ndarray, np.ndarray], np.ndarray], length: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
     """(row): the smallest row of each group that links of similarity join, from (row, text) with whole numbers that are unique.
 
-    Equal sets are one from the start. A text without words is similar to none. An empty table gives
-    no rows.
+    Texts that meet in a shingle are first compared with the smallest row there, then those that are
+    still in different groups with each other. sketch and keep decide which of them have their sets
+    compared. Equal sets are one from the start. A text without words is similar to none. An empty
+    table gives no rows.
     """
-    heads = stored(_heads(rows, _common(rows, rows.count(), length), length, least), "heads")
+    heads = stored(_heads(rows, _common(rows, rows.count(), length), length, least, sketch), "heads")
     one = stored(heads.groupBy("same").agg(F.min("row").alias("row")).select("row"), "classes")
+    facts = heads.select("row", "n", "sketch")
     every = heads.join(one, "row", "left_semi").select("row", F.explode("head").alias("shingle"))
-    there = Window.partitionBy("shingle")
-    met = every.withColumns({"least": F.min("row").over(there), "times": F.count("*").over(there)}).where("times > 1").drop("times")
-    met = stored(met, "met")
-    pairs = stored(met.where("row <> least").select(F.col("least").alias("a"), F.col("row").alias("b")).distinct(), "pairs")
-    links = _verified(pairs, heads, rows, length, least)
+    least_there = every.groupBy("shingle").agg(F.min("row").alias("least"), F.count("*").alias("times")).where("times > 1").drop("times")
+    met = stored(every.join(least_there, "shingle"), "met")
+    side = lambda k, v: facts.select(F.col("row").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(v))
+    sizes = f"least(na, nb) * {least[1]} >= greatest(na, nb) * {least[0]}"
+    star = met.where("row <> least").select(F.col("least").alias("a"), F.col("row").alias("b")).distinct()
+    star = stored(_pruned(star.join(side("b", "y"), "b").join(side("a", "x"), "a").where(sizes), keep), "pairs")
+    links = stored(_verified(star, rows, length, least), "links")
     group = stored(components(links), "groups")
     named = met.join(group, met["row"] == group["node"], "left").select("shingle", "row", "least", F.coalesce("component", "row").alias("group"))
     apart = named.groupBy("shingle").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("shingle")
-    named = stored(named.where("row <> least").join(apart, "shingle", "left_semi"), "apart")  # pairs with the smallest row are settled
-    x, y = named.alias("x"), named.alias("y")
-    near = F.expr("x.shingle = y.shingle and x.row < y.row and x.group <> y.group")
-    rest = stored(x.join(y, near).select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct(), "pairs")
-    more = _verified(rest, heads, rows, length, least)
+    named = named.where("row <> least").join(apart, "shingle", "left_semi").join(facts, "row")  # pairs with the smallest row are settled
+    named = stored(named.select("shingle", "row", "group", "n", "sketch"), "apart")
+    x, y = named.alias("p"), named.alias("q")
+    near = F.expr(f"p.shingle = q.shingle and p.row < q.row and p.group <> q.group and least(p.n, q.n) * {least[1]} >= greatest(p.n, q.n) * {least[0]}")
+    pairs = x.join(y, near).select(F.col("p.row").alias("a"), F.col("q.row").alias("b"), F.col("p.sketch").alias("x"), F.col("q.sketch").alias("y"))
+    rest = stored(_pruned(pairs, keep), "pairs")
+    more = stored(_verified(rest, rows, length, least), "links")
     if more.limit(1).count():
         group = stored(components(links.unionByName(more)), "groups")
     return one.join(group.where("node <> component").select(F.col("node").alias("row")), "row", "left_anti")

@@ -1,16 +1,17 @@
-"""SimHash near-duplicates, with candidates from pigeonring chains.
+"""SimHash near-duplicates, pruned by pigeonring chains.
 
 A fingerprint is cut into m segments on a ring. If two fingerprints differ in at most t bits, then
 some segment begins a chain in which the first l segments together differ in at most l * t / m bits,
-for every l. Chains are looked up by their first segments: one side files its own bits, the other
-side files every variant within the budgets, so near keys meet as equal keys. Meeting pairs run
-along the rest of the chain before their full Hamming distance is taken.
+for every l. Where t is small, chains are looked up by their first segments: one side files its own
+bits, the other side files every variant within the budgets, so near keys meet as equal keys. All
+pairs that meet must keep within the budgets along a chain before their full Hamming distance is taken.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -20,21 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formulary.llm import shingle_join
-from formulary.llm.common import ascii_words, keyed, mix64, stored
+from formulary.llm.common import ascii_words, fresh, keyed, mix64, per_text, settled, stored
 from formulary.llm.components import Forest, components
 
 SEED = 42
-_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-_ONES = _BYTE_BITS.sum(1).astype(np.uint8)
-
-
 @dataclass(frozen=True)
 class Ring:
     """How fingerprints are made and compared.
 
     bits: a multiple of 64. limit: the most bits in which linked fingerprints differ. chain: segments
-    in a lookup key. reach: bits that a variant may change in a segment. guaranteed: differences up to
-    which no pair is missed; pairs from there to limit are found if any segment agrees well enough.
+    in a lookup key. reach: bits that a variant may change in a key; with it, no pair up to
+    `guaranteed` bits is missed by the lookup.
     """
 
     shingle: int = 4
@@ -65,10 +62,20 @@ class Ring:
 
 #: The contract's fingerprint: 64 bits over four-word shingles, linked at 4 bits or fewer, all of them found.
 CONTRACT = Ring()
-#: For a shingle similarity (Jaccard) of 0.8 over five words: two sets that alike have a cosine of 0.89, so
-#: each bit differs with probability 0.15, 38 of 256 bits.
-#: Up to 31 bits nothing is missed (some 16-bit segment differs in at most one); at 38, 1 pair in 200 is.
-SIMILAR = Ring(shingle=5, distinct=True, bits=256, limit=38, segments=16, chain=1, reach=1)
+#: For a shingle similarity (Jaccard) of 0.8 over five words, which is counted exactly afterwards. There a bit
+#: differs with probability 0.15, 39 of 256 bits; sets of four and five shingles come to 48 with a deviation of
+#: 6.4, so 80 bits lose about one such pair in five million. Independent texts get there once in a billion pairs.
+SIMILAR = Ring(shingle=5, distinct=True, bits=256, limit=80, segments=16)
+
+
+def majority(hashes: np.ndarray, bits: int = 64) -> bytes:
+    """Big-endian bytes of the fingerprint of 64-bit hashes: a bit is 1 if set in over half of them. Further 64 bits come from the hashes scrambled anew."""
+    ones = np.zeros(bits, np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        h = hashes[at : at + (1 << 15)]
+        lanes = np.stack([h if not k else mix64(h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) for k in range(bits // 64)], 1)
+        ones += np.add.reduce(np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8").astype(">u8").tobytes()
 
 
 def fingerprint(text: str | None, ring: Ring = CONTRACT) -> bytes:
@@ -83,23 +90,13 @@ def fingerprint(text: str | None, ring: Ring = CONTRACT) -> bytes:
     starts = [0, *ends[: n - k].tolist()]
     digest = xxhash.xxh64_intdigest
     hashes = [digest(flat[a : b - 1], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)]
-    h = np.array(list(set(hashes)) if ring.distinct else hashes, np.uint64)
-    out = []
-    for lane in range(ring.bits // 64):
-        each = (h if not lane else mix64(h + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64)))).view(np.uint8).reshape(-1, 8)
-        ones = np.concatenate([np.bincount(each[:, b], minlength=256) @ _BYTE_BITS for b in range(8)])
-        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]).to_bytes(8, "big"))
-    return b"".join(out)
+    return majority(np.array(list(set(hashes)) if ring.distinct else hashes, np.uint64), ring.bits)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ring: Ring = CONTRACT) -> DataFrame:
     """(doc_id, fp): one row per row of docs."""
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["_id"].astype("Int64"), "fp": [fingerprint(t, ring) for t in b["_text"]]})
-
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInPandas(make, "doc_id long, fp binary")
+    return per_text(docs, id_col, text_col, lambda: lambda texts: [[fingerprint(t, ring) for t in texts]], "fp binary")
 
 
 def _segments(lanes: np.ndarray, ring: Ring) -> np.ndarray:
@@ -137,26 +134,38 @@ def _keys(lanes: np.ndarray, ring: Ring) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(own, 1), np.concatenate(probes, 1)
 
 
-def _ones(x: np.ndarray) -> np.ndarray:
-    return _ONES[np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape[:-1], 8 * x.shape[-1])].sum(-1, dtype=np.int64)
+def _within(a: np.ndarray, b: np.ndarray, ring: Ring) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64) <= ring.limit
 
 
-def _within(a: np.ndarray, b: np.ndarray, ring: Ring) -> np.ndarray:
-    return _ones(a ^ b) <= ring.limit
+@lru_cache
+def _masks(ring: Ring) -> list[list[tuple[int, np.uint64]]]:
+    """For each segment its parts: the number of a 64-bit lane, and the segment's bits there."""
+    out = []
+    for a, b in ring.bounds:
+        lanes = range(a // 64, (b - 1) // 64 + 1)
+        out.append([(k, np.uint64(sum(1 << (x - 64 * k) for x in range(max(a, 64 * k), min(b, 64 * k + 64))))) for k in lanes])
+    return out
 
 
-def _chained(a: np.ndarray, b: np.ndarray, ring: Ring) -> np.ndarray:
-    """Whether some chain of two, then four segments keeps within its budgets: a cheap test that no linked pair fails."""
-    if ring.bits != 64 * a.shape[1] or ring.bits // ring.segments * ring.segments != ring.bits or ring.bits // ring.segments % 8:
-        return np.ones(len(a), bool)
-    each = _ONES[np.ascontiguousarray(a ^ b).view(np.uint8).reshape(len(a), ring.segments, ring.bits // ring.segments // 8)].sum(-1, dtype=np.int16)
+def chained(a: np.ndarray, b: np.ndarray, ring: Ring, longest: int = 8) -> np.ndarray:
+    """Whether some chain of 1, 2, ... segments keeps within its budgets, l * limit / segments for l of them: no pair within the limit fails."""
+    x = a ^ b
+    each = np.stack([sum(np.bitwise_count(x[:, k] & mask).astype(np.int16) for k, mask in parts) for parts in _masks(ring)], 1)
     good, total = np.ones_like(each, bool), np.zeros_like(each)
-    for step in range(4):
+    for step in range(min(longest, ring.segments)):
         total = total + np.roll(each, -step, axis=1)
         good &= total <= (step + 1) * ring.limit // ring.segments
     return good.any(1)
 
 
+def close(a: np.ndarray, b: np.ndarray, ring: Ring) -> np.ndarray:
+    """Which pairs of fingerprints are within the limit: chains first, then the full distance of those that pass."""
+    good = chained(a, b, ring)
+    good[good] = _within(a[good], b[good], ring)
+    return good
+
+
 def _linked(own: np.ndarray, own_row: np.ndarray, probe: np.ndarray, probe_row: np.ndarray, lanes: np.ndarray, ring: Ring, block: int = 1 << 21) -> Forest:
     """Joins the fingerprints that meet in a key and are within the limit. Pairs are walked in blocks and only their joins stay."""
     forest = Forest(len(lanes))
@@ -188,16 +197,14 @@ def _linked(own: np.ndarray, own_row: np.ndarray, probe: np.ndarray, probe_row:
         y = own_row[np.repeat(left[part] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
         apart = x < y  # each pair is met from both sides
         x, y = x[apart], y[apart]
-        near = _chained(lanes[x], lanes[y], ring)
-        x, y = x[near], y[near]
-        near = _within(lanes[x], lanes[y], ring)
+        near = close(lanes[x], lanes[y], ring)
         for a, b in np.unique(np.stack((x[near], y[near]), 1), axis=0).tolist():
             forest.join(a, b)
         at = end
     return forest
 
 
-def links(classes: DataFrame, ring: Ring = CONTRACT, per_group: int = 3_000_000) -> DataFrame:
+def links(classes: DataFrame, ring: Ring = CONTRACT, per_group: int = 1_000_000) -> DataFrame:
     """Edges (a, b) that join all fingerprints within the limit, from (rep, fp) with distinct fingerprints.
 
     A batch sends each group of keys its fingerprints once and its keys as packed arrays. The number
@@ -218,13 +225,11 @@ def links(classes: DataFrame, ring: Ring = CONTRACT, per_group: int = 3_000_000)
                 rows = np.concatenate((np.repeat(np.arange(len(b)), own.shape[1]), np.repeat(np.arange(len(b)), probe.shape[1])))
                 group = codes % np.uint64(groups)
                 order = np.argsort(group, kind="stable")  # own keys stay before probes within a group
-                cut = np.searchsorted(group[order], np.arange(groups + 1))
+                there, cut = np.unique(group[order], return_index=True)  # only the groups that occur
                 out = []
-                for g in range(groups):
-                    idx = order[cut[g] : cut[g + 1]]
-                    if len(idx):
-                        used, row = np.unique(rows[idx], return_inverse=True)
-                        out.append((g, int((idx < own.size).sum()), lanes[used].tobytes(), reps[used].tobytes(), (codes[idx] >> np.uint64(32)).astype("<u4").tobytes(), row.astype("<u2").tobytes()))
+                for g, idx in zip(there.tolist(), np.split(order, cut[1:]), strict=True):
+                    used, row = np.unique(rows[idx], return_inverse=True)
+                    out.append((g, int((idx < own.size).sum()), lanes[used].tobytes(), reps[used].tobytes(), (codes[idx] >> np.uint64(32)).astype("<u4").tobytes(), row.astype("<u2").tobytes()))
                 yield pd.DataFrame(out, columns=["g", "n_own", "lanes", "reps", "codes", "rows"])
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
@@ -264,13 +269,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return made.join(named, "fp", "left").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), lone.alias("component_id"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, ring: Ring = SIMILAR) -> DataFrame:
     """The documents of which each group keeps one, the smallest doc_id; all their columns.
 
-    Links are exact (shingle_join): a Jaccard similarity of 0.8 or more of five-word shingles, which
-    fingerprints only estimate. Rows that share an id are documents of their own, and so are rows
-    without one, which come after all ids.
+    Texts that share a rare shingle are candidates; their fingerprints are pruned by pigeonring chains
+    and the full Hamming distance; links are those whose shingle sets then have a Jaccard similarity of
+    0.8 or more, counted exactly. Rows that share an id are documents of their own, and so are rows
+    without one, which come after all ids. Null and empty texts, and texts without words, are like no
+    other and all stay. Repeated rows leave one. An empty table gives no rows; other columns may have
+    any names.
     """
-    rows = keyed(docs)
-    found = stored(shingle_join.firsts(rows.select(F.col("_row").alias("row"), "text")), "kept").withColumnRenamed("row", "_row")
-    return rows.join(found, "_row", "left_semi").select(docs.columns)
+    spark, row = docs.sparkSession, fresh(docs, "_row")
+    rows = keyed(docs, row)
+    read = rows.select(F.col(row).alias("row"), "text")
+    sketch, keep = (lambda hashes: majority(hashes, ring.bits)), (lambda a, b: close(a, b, ring))
+    found = settled(spark, lambda: shingle_join.firsts(read, sketch, keep, ring.shingle), "kept")
+    return rows.join(found.withColumnRenamed("row", row), row, "left_semi").select(docs.columns)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formulary.llm.common import Rolling, keyed, stored
+from formulary.llm.common import Rolling, fresh, keyed, settled, stored
 
 SPAN, BUCKET_BYTES, GROUP_WINDOWS = 50, 4 << 20, 2_000_000
 #: Null ids come after all others.
@@ -177,7 +177,7 @@ def _removed(group: pd.DataFrame, back: pd.DataFrame, span: int, with_text: bool
         edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
         words = raw.split()
         left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if len(hits) else words
-        row = [int(b.ids[k]) if b.ids[k] != LAST else None, n, int(gone.sum()), hashlib.sha256(b" ".join(left)).hexdigest(), [{"from_word": int(x), "to_word": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)]]
+        row = [int(b.ids[k]), n, int(gone.sum()), hashlib.sha256(b" ".join(left)).hexdigest(), [{"from_word": int(x), "to_word": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)]]
         if with_text:
             parts, done = [], 0
             for x, y in zip(edge[::2], edge[1::2], strict=True):
@@ -186,7 +186,7 @@ def _removed(group: pd.DataFrame, back: pd.DataFrame, span: int, with_text: bool
             row.append(b"".join([*parts, raw[done:]]).decode("utf-8", "surrogatepass"))
         out.append(row)
     made = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "removed", *(["kept_text"] if with_text else [])])
-    made["doc_id"] = made["doc_id"].astype("Int64")
+    made["doc_id"] = pd.arrays.IntegerArray(b.ids, b.ids == LAST)
     return made
 
 
@@ -221,15 +221,16 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """The documents without their repeated words; all their columns, n_chars following the text. A document that loses every word stays, with an empty text.
 
-    Rows that share an id are documents of their own, and so are rows without one, which come after all ids.
+    Rows that share an id are documents of their own, and so are rows without one, which come after all
+    ids. A null text stays null. An empty table gives no rows; other columns may have any names.
     """
-    docs, columns = keyed(docs), docs.columns
-    left = repeats_removed(docs, "_row", span=span, with_text=True).where("n_removed > 0")
-    left = left.select(F.col("doc_id").alias("_row"), F.col("kept_text").alias("_kept"))
-    rows = docs.join(left, "_row", "left").withColumn("text", F.coalesce("_kept", "text"))
+    spark, row, kept = docs.sparkSession, fresh(docs, "_row"), fresh(docs, "_kept")
+    rows = keyed(docs, row)
+    left = settled(spark, lambda: repeats_removed(rows, row, span=span, with_text=True).where("n_removed > 0").select("doc_id", "kept_text"), "cut")
+    rows = rows.join(left.select(F.col("doc_id").alias(row), F.col("kept_text").alias(kept)), row, "left").withColumn("text", F.coalesce(kept, "text"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(columns)
+        rows = rows.withColumn("n_chars", F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return rows.select(docs.columns)
 
 
 #: What repeats_removed gives in DuckDB, where ids are unique and not null.
