@@ -12,17 +12,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from formulary.llm.common import SPACE, WORD, keyed, mix64, stored
+from formulary.llm.common import SPACE, WORD, fresh, keyed, mix64, stored
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 BLOCK, SEED = 128, 20240
 #: Slots of a shard, and the most shards: beyond, shards grow instead.
 SHARD, SHARDS = 1 << 16, 4096
-#: Documents that one stretch of a source's stream holds, about.
-STRETCH = 2_000
+#: Documents that one stretch of a source's stream holds, about, and stretches whose places are summed in one task.
+STRETCH, SUMMED = 500, 4096
+#: Sources up to which their few facts are broadcast.
+LISTED = 10_000
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str | None, float]:
@@ -76,8 +78,9 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, source, size, tie): tie tells rows without an id, or with the same, apart by their text."""
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(text_col).alias("tie"))
 
 
 class Mix:
@@ -90,23 +93,27 @@ class Mix:
     A null or empty text has size 0 and gives no words. A null source is a source. Repeated rows are
     documents of their own; rows with a null id too. An empty table gives an empty mix. Other columns
     of docs aren't read. Sources are few enough to list on the driver (labels of a mix, not hosts).
-    once: rows with the same id are one document.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = SEED, once: bool = False) -> None:
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = SEED) -> None:
         self.block, self.seed, self.spark = block, seed, docs.sparkSession
-        rows = sized(docs, id_col, text_col, source_col)
-        self.sizes = stored(rows.dropDuplicates(["doc_id"]) if once else rows, "sizes")
+        self.sizes = stored(sized(docs, id_col, text_col, source_col), "sizes")
         totals = self.sizes.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()
         self.stretches = max(1, -(-sum(r["docs"] for r in totals) // STRETCH))
-        stretch = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(self.stretches)).cast("int")
-        within = Window.partitionBy("source", "stretch").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+        spread = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("tie")), F.lit(seed))
+        stretch = F.pmod(spread, F.lit(self.stretches)).cast("int")
+        within = Window.partitionBy("source", "stretch").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
         placed = self.sizes.where("size > 0").withColumn("stretch", stretch).withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0)))
         blocks = placed.groupBy("source", "stretch").agg(F.ceil(F.sum("size") / block).cast("long").alias("blocks"))
-        before = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-        blocks = stored(blocks.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0))), "stretches")
-        same = lambda a, b: a["source"].eqNullSafe(b["source"]) & (a["stretch"] == b["stretch"])
-        self._placed = placed.alias("p").join(blocks.alias("b"), same(placed, blocks)).select("p.*", "b.first")
+        blocks = stored(blocks.withColumn("part", F.floor(F.col("stretch") / SUMMED)), "stretches")
+        # the first block of a stretch: what comes before its part, and before it in its part
+        sums = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        parts = blocks.groupBy("source", "part").agg(F.sum("blocks").alias("n"))
+        parts = parts.select("source", "part", F.coalesce(F.sum("n").over(sums("source", "part")), F.lit(0)).alias("before"))
+        same = lambda a, b, k: a["source"].eqNullSafe(b["source"]) & (a[k] == b[k])
+        first = blocks.withColumn("first", F.coalesce(F.sum("blocks").over(sums("source", "part", "stretch")), F.lit(0)))
+        first = first.alias("b").join(parts.alias("p"), same(first, parts, "part")).select("b.source", "b.stretch", (F.col("b.first") + F.col("p.before")).alias("first"))
+        self._placed = placed.alias("p").join(first.alias("b"), same(placed, first, "stretch")).select("p.*", "b.first")
         count = {r["source"]: r["n"] for r in blocks.groupBy("source").agg(F.sum("blocks").alias("n")).collect()}
         self.totals = {r["source"]: r["n"] for r in totals}
         self.targets = targets(self.totals, weights, share, most)
@@ -139,21 +146,24 @@ class Mix:
 
         return self.spark.range(total).mapInPandas(draw, "shard long, slot long, source_no int, block long")
 
-    def _number(self) -> Column:
-        pick = F.lit(None).cast("int")
-        for k, s in enumerate(self.names):
-            pick = F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(k)).otherwise(pick)
-        return pick
+    def _labelled(self, rows: DataFrame, *facts: str) -> DataFrame:
+        """rows with facts of their source: its source_no (of those with words), source_size and target."""
+        number = {s: k for k, s in enumerate(self.names)}
+        listed = [(s, number.get(s), int(n), float(self.targets[s])) for s, n in self.totals.items()]
+        known = self.spark.createDataFrame(listed, "name string, source_no int, source_size long, target double").select("name", *facts)
+        if len(listed) <= LISTED:
+            known = F.broadcast(known)
+        return rows.join(known, rows["source"].eqNullSafe(known["name"]), "left").drop("name")
 
     def pieces(self) -> DataFrame:
         """(source_no, block, doc_id, source, size, start, first, from_word, to_word): the words of each document in each block."""
         b = self.block
-        rows = self._placed.withColumn("source_no", self._number())
+        rows = self._labelled(self._placed, "source_no")
         rows = rows.withColumn("k", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))))
         return rows.select(
             "source_no",
             (F.col("first") + F.col("k")).alias("block"),
-            *("doc_id", "source", "size", "start", "stretch"),
+            *("doc_id", "source", "size", "tie", "start", "stretch"),
             F.greatest(F.lit(0), F.col("k") * b - F.col("start")).cast("long").alias("from_word"),
             F.least(F.col("size"), (F.col("k") + 1) * b - F.col("start")).cast("long").alias("to_word"),
         )
@@ -165,13 +175,11 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """(doc_id, size, source_size, target, taken): one row per row of docs."""
-        own = ["doc_id", "source", "size", "start", "stretch"]
+        own = ["doc_id", "source", "size", "tie", "start", "stretch"]
         some = self.mixed().groupBy(*own).agg(F.sum(F.col("times") * (F.col("to_word") - F.col("from_word"))).cast("long").alias("taken"))
         none = self.sizes.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken"))
         every = some.select("doc_id", "source", "size", "taken").unionByName(none)
-        listed = [(s, int(n), float(self.targets[s])) for s, n in self.totals.items()]
-        facts = self.spark.createDataFrame(listed, "name string, source_size long, target double")
-        return every.join(F.broadcast(facts), every["source"].eqNullSafe(facts["name"]), "left").select("doc_id", "size", "source_size", "target", "taken")
+        return self._labelled(every, "source_size", "target").select("doc_id", "size", "source_size", "target", "taken")
 
     def spans(self) -> DataFrame:
         """(doc_id, copy, from_word, to_word, size): the longest runs of a document's words that the mix holds at least copy times."""
@@ -181,31 +189,23 @@ class Mix:
         return rows.groupBy("doc_id", "start", "source_no", "stretch", "size", "copy", "run").agg(F.min("from_word").alias("from_word"), F.max("to_word").alias("to_word")).drop("run", "start", "source_no", "stretch")
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The mix as rows with the columns of docs: a row for each run of words taken, a whole document keeping its text as it was.
 
-    Runs of a part of a document are its words joined by single spaces; n_chars follows the text. A
-    document is named by doc_id: repeated rows are one document. Rows without an id or without words
-    are not taken.
+    Runs of a part of a document are its words joined by single spaces; n_chars follows the text.
+    Every row is a document, also rows without an id, rows that share one, and repeated rows. Rows
+    without words (null and empty texts) are not taken. An empty table gives no rows; other columns
+    may have any names.
     """
-    mix = Mix(docs.where("doc_id is not null"), once=True, **how)
-    return _cut(docs, mix, "doc_id").select(docs.columns)
-
-
-def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """mixed_documents() where every row is a document, also rows without an id and rows that share one. Rows without words are not taken."""
-    rows = keyed(docs)
-    return _cut(rows, Mix(rows, id_col="_row", **how), "_row").select(docs.columns)
-
-
-def _cut(docs: DataFrame, mix: Mix, key: str) -> DataFrame:
-    """A row for each run of words that the mix takes of the documents named by key."""
-    runs = mix.spans().withColumnsRenamed({"doc_id": "_key", "from_word": "_from", "to_word": "_to", "size": "_size", "copy": "_copy"})
-    rows = docs.join(runs, docs[key] == runs["_key"])
-    rows = rows.dropDuplicates([key, "_copy", "_from"])  # dealt by key already
-    words = F.filter(F.split("text", SPACE + "+"), lambda w: w != "")
-    part = F.array_join(F.slice(words, (F.col("_from") + 1).cast("int"), (F.col("_to") - F.col("_from")).cast("int")), " ")
-    rows = rows.withColumn("text", F.when((F.col("_from") == 0) & (F.col("_to") == F.col("_size")), F.col("text")).otherwise(part))
+    key = fresh(docs, "_row")
+    rows = keyed(docs, key)
+    runs = Mix(rows, id_col=key, **how).spans()
+    out = rows.select(F.col(key).alias("doc_id"), F.struct("*").alias("doc")).join(runs, "doc_id")
+    text = F.col("doc.text")
+    words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
+    part = F.array_join(F.slice(words, (F.col("from_word") + 1).cast("int"), (F.col("to_word") - F.col("from_word")).cast("int")), " ")
+    text = F.when((F.col("from_word") == 0) & (F.col("to_word") == F.col("size")), text).otherwise(part)
+    doc = F.col("doc").withField("text", text)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows
+        doc = doc.withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return out.select(doc.alias("doc")).select("doc.*").select(docs.columns)
