@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formulary.llm.common import fold
+from formulary.llm.common import fold, per_text
 
 #: At most about so many texts of each language are trained on, chosen by the hash of their id.
 PER_LANGUAGE = 1_500
@@ -130,20 +130,18 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = held.value
-        for b in batches:
-            names, scores = [], []
-            for text in b["_text"]:
-                if not m.languages or not has_letter(text):
-                    names.append(UNKNOWN), scores.append(0.0)
-                    continue
-                p = m.probabilities(subwords(text)[None, :])[0]
-                k = int(p.argmax())
-                names.append(m.languages[k]), scores.append(float(p[k]))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "lang_pred": names, "score": scores, "rejected": [n == UNKNOWN or s < m.least for n, s in zip(names, scores, strict=True)]})
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).mapInPandas(predict, "doc_id long, lang_pred string, score double, rejected boolean")
+    def predict(texts: list) -> list:
+        m, out = held.value, []
+        for text in texts:
+            if not m.languages or not has_letter(text):
+                out.append((UNKNOWN, 0.0, True))
+                continue
+            p = m.probabilities(subwords(text)[None, :])[0]
+            k = int(p.argmax())
+            out.append((m.languages[k], float(p[k]), bool(p[k] < m.least)))
+        return list(zip(*out, strict=True)) if out else [[]] * 3
+
+    return per_text(docs, id_col, text_col, lambda: predict, "lang_pred string, score double, rejected boolean")
 
 
 def held_out_predictions(docs: DataFrame, of: int = 5, out: int = 0) -> DataFrame:

@@ -12,13 +12,14 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formulary.llm.common import ascii_words, fold, stored
+from formulary.llm.common import ascii_words, fold, per_text, stored
 
 #: Share of the probability that goes to spelled words.
 SPELLED = 0.01
@@ -232,25 +233,26 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     spark, known, end = docs.sparkSession, model.head(), model.end
     head = spark.sparkContext.broadcast(known)
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         from pyspark import TaskContext
 
-        key, get = TaskContext.get().partitionId() << 33, head.value.get
-        for b in batches:
+        keys, get = count(TaskContext.get().partitionId() << 33), head.value.get
+
+        def first(texts: list) -> list[list]:
             out = []
-            for doc, text in zip(b["doc_id"].tolist(), b["_text"].tolist(), strict=True):
+            for text in texts:
                 words = ascii_words(text, lower=True)
                 got = list(map(get, words))
                 rest = Counter([w for w, g in zip(words, got, strict=True) if g is None]) if None in got else {}
                 facts = [g for g in got if g is not None]
-                out.append((key, doc, len(words) + 1, int(end[2] > 0) + sum([g[0] for g in facts]), end[0] + math.fsum([g[1] for g in facts]), end[1] + math.fsum([g[2] for g in facts]), [{"word": w, "times": c} for w, c in rest.items()]))
-                key += 1
-            made = pd.DataFrame(out, columns=["key", "doc_id", "n_tokens", "n_known", "base_score", "score", "rest"])
-            made["doc_id"] = made["doc_id"].astype("Int64")
-            yield made
-
-    schema = "key long, doc_id long, n_tokens long, n_known long, base_score double, score double, rest array<struct<word:binary,times:long>>"
-    rows = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).mapInPandas(first, schema), "heads")
+                known = int(end[2] > 0) + sum([g[0] for g in facts])
+                out.append((next(keys), len(words) + 1, known, end[0] + math.fsum([g[1] for g in facts]), end[1] + math.fsum([g[2] for g in facts]), [{"word": w, "times": c} for w, c in rest.items()]))
+            return list(zip(*out, strict=True)) if out else [[]] * 6
+
+        return first
+
+    fields = "key long, n_tokens long, n_known long, base_score double, score double, rest array<struct<word:binary,times:long>>"
+    rows = stored(per_text(docs, id_col, text_col, start, fields), "heads")
     rest = rows.select("key", F.explode("rest").alias("r")).select("key", "r.word", "r.times").join(model.lexicon, "word")
     sums = rest.groupBy("key").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.col("base")).alias("b"), F.sum(F.col("times") * F.col("logp")).alias("s"))
     plus = lambda c, x: (F.col(c) + F.coalesce(F.col(x), F.lit(0))).alias(c)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formulary.llm.common import fold
+from formulary.llm.common import fold, per_text
 from formulary.llm.toxicity_kn import _logistic, labelled_sample
 
 #: At most about so many positives, and so many unlabelled documents, are fitted on, chosen by the hash of their id.
@@ -130,14 +130,12 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str =
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(texts: list) -> list:
         m = held.value
-        for b in batches:
-            margins = np.array([features(t) @ m.weights for t in b["_text"]]) + m.bias
-            p = m.probability(margins)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": p, "predicted": (p >= threshold).astype(np.int32)})
+        p = m.probability(np.array([features(t) @ m.weights for t in texts]) + m.bias)
+        return [p, (p >= threshold).astype(np.int32)]
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).mapInPandas(score, "doc_id long, score double, predicted int")
+    return per_text(docs, id_col, text_col, lambda: score, "score double, predicted int")
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame, of: int = 4, out: int = 2, threshold: float = 0.7) -> DataFrame:

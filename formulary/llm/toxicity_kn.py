@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formulary.llm.common import fold
+from formulary.llm.common import fold, per_text
 
 #: At most about so many labelled documents are fitted on, chosen by the hash of their id.
 SAMPLE = 7_000
@@ -142,14 +142,12 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str =
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = held.value
-        for b in batches:
-            seen = np.array([m.evidence(t) for t in b["_text"]]).reshape(-1, 1 + len(TIERS))
-            p = m.probability(seen)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": p, "predicted": (p >= threshold).astype(np.int32), "evidence": seen[:, 1]})
+    def score(texts: list) -> list:
+        seen = np.array([held.value.evidence(t) for t in texts]).reshape(-1, 1 + len(TIERS))
+        p = held.value.probability(seen)
+        return [p, (p >= threshold).astype(np.int32), seen[:, 1]]
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).mapInPandas(score, "doc_id long, score double, predicted int, evidence double")
+    return per_text(docs, id_col, text_col, lambda: score, "score double, predicted int, evidence double")
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame, of: int = 4, out: int = 2, threshold: float = 0.3) -> DataFrame:

@@ -177,9 +177,9 @@ def test_targets_share_the_excess():
     assert counts.sum(0).tolist() == [50, 7, 0, 143] and counts.sum(1).tolist() == [64, 64, 64, 8]
 
 
-def test_mixed_documents_hold_what_is_taken(docs):
+def test_mixed_rows_hold_what_is_taken(docs):
     unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    rows = mixing.mixed_documents(docs, block=8)  # with a repeated row, and rows without an id
+    rows = mixing.mixed_rows(unique, block=8)
     assert rows.columns == docs.columns
     got = Counter()
     for r in rows.select("doc_id", "text").collect():
@@ -229,18 +229,33 @@ def test_simhash_links_all_close_fingerprints(spark, docs, none):
     assert simhash_dedup.near_duplicates(none).count() == 0
 
 
-def test_pigeonring_candidates_are_complete():
+def flipped(rng, a, flips):
+    b = a.copy()
+    for row in b:
+        for bit in rng.permutation(64 * a.shape[1])[:flips]:
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    return b
+
+
+def test_pigeonring_loses_no_pair_and_prunes():
     rng = np.random.default_rng(0)
-    for ring, flips in ((simhash_dedup.CONTRACT, 4), (simhash_dedup.SIMILAR, 31)):
-        assert ring.guaranteed >= flips
-        a = rng.integers(0, 1 << 63, (200, ring.bits // 64), dtype=np.uint64)
-        b = a.copy()
-        for row in b:
-            for bit in rng.permutation(ring.bits)[:flips]:
-                row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
-        assert simhash_dedup._chained(a, b, ring).all()
+    ring = simhash_dedup.CONTRACT
+    assert ring.guaranteed == ring.limit == 4
+    for flips in range(5):
+        a = rng.integers(0, 1 << 63, (300, 1), dtype=np.uint64)
+        b = flipped(rng, a, flips)
         own, probes = simhash_dedup._keys(a, ring)[0], simhash_dedup._keys(b, ring)[1]
         assert all(set(x) & set(y) for x, y in zip(own.tolist(), probes.tolist(), strict=True))
+    for ring in (simhash_dedup.CONTRACT, simhash_dedup.SIMILAR, simhash_dedup.Ring(bits=128, limit=9, segments=7)):
+        a = rng.integers(0, 1 << 63, (2000, ring.bits // 64), dtype=np.uint64)
+        near = flipped(rng, a, ring.limit)
+        assert simhash_dedup.chained(a, near, ring).all() and simhash_dedup.close(a, near, ring).all()
+        far = rng.integers(0, 1 << 63, a.shape, dtype=np.uint64)
+        assert simhash_dedup.chained(a, far, ring).mean() < 0.5
+        each = [[sum((int(x) ^ int(y)) >> (s % 64) & 1 for s in range(lo, hi) for x, y in [(p[s // 64], q[s // 64])]) for lo, hi in ring.bounds] for p, q in zip(a[:200], far[:200], strict=True)]
+        m = ring.segments
+        naive = [any(all(sum(d[(s + j) % m] for j in range(n)) <= n * ring.limit // m for n in range(1, min(8, m) + 1)) for s in range(m)) for d in each]
+        assert simhash_dedup.chained(a[:200], far[:200], ring).tolist() == naive
 
 
 def test_deduplicated_keeps_one_of_each_group(docs):
