@@ -51,10 +51,22 @@ def per_text(docs: DataFrame, id_col: str, text_col: str, start: Callable[[], Ca
             made = make(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(made, list(schema)[1:], strict=True))], schema=schema)
 
+    small_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     return read.mapInArrow(run, "doc_id long, " + fields)
 
 
+#: Bytes of a batch of rows that goes to Python, and Spark's own bound, which a session that asks for another one doesn't have.
+BATCH_BYTES, USUAL_BYTES = 8 << 20, 64 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Long texts and arrays go to Python few at a time: a worker holds a batch several times over. A bound that the session sets stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(USUAL_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only a local session that names none gets one of our own: elsewhere it would be a folder of the driver alone."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -73,6 +85,7 @@ _OPEN: list[list[str]] = []
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once to the shared folder and read again: their lineage ends here, so a lost executor costs no recomputation."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/formulary-{name}-{uuid.uuid4().hex}"
     if _OPEN:
         _OPEN[-1].append(path)

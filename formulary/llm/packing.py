@@ -7,9 +7,11 @@ first fills it. What is still open at a partition's end is merged with the lefto
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from formulary.llm.common import stored
+from formulary.llm.common import small_batches, stored
 
-CAPACITY, OPEN_WINDOWS, MIN_GAP, CACHE = 1024, 64, 16, 400_000
+CAPACITY, OPEN_WINDOWS, MIN_GAP, CACHE = 1024, 64, 16, 200_000
 #: Partitions whose leftovers are packed together.
 MERGED = 64
 
@@ -50,15 +52,13 @@ class Encoder:
     def __init__(self, path: str, cache: int = CACHE) -> None:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self._whole = Tokenizer.from_file(path)
-        self._whole.encode_special_tokens = True
-        special = {t.content for t in self._whole.get_added_tokens_decoder().values()}
+        file = json.loads(Path(path).read_text(encoding="utf-8"))
+        special = {t["content"] for t in file.get("added_tokens", [])}
         prints = [*range(33, 127), *range(161, 173), *range(174, 256)]  # a byte that prints stands for itself, the rest follow from 256 on
         hidden = [b for b in range(256) if b not in set(prints)]
         byte = {chr(b): b for b in prints} | {chr(256 + k): b for k, b in enumerate(hidden)}
-        ranks = {bytes(byte[c] for c in piece): k for piece, k in self._whole.get_vocab().items() if piece not in special}
+        ranks = {bytes(byte[c] for c in piece): k for piece, k in file["model"]["vocab"].items() if piece not in special}
         self._encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._known: dict[str, bytes] = {}
         self._cache = cache
@@ -177,7 +177,7 @@ def pack(
                 for done in windows.put((doc, 0, ids, len(ids) // 4), len(ids) // 4, _cut):
                     out.extend(_rows(done, (part << 33) + n, -1, with_ids))
                     n += 1
-                if len(out) >= 20_000:
+                if len(out) >= 4_000:
                     yield frame(out)
                     out = []
         for _, pieces in windows.open:
@@ -200,6 +200,7 @@ def pack(
         out = out.set_column(shape.names.index("sequence_id"), "sequence_id", pa.array(into[which]))
         return out.set_column(shape.names.index("offset"), "offset", pa.array(offset[order] + shift[which])).cast(shape)
 
+    small_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     done = stored(read.mapInArrow(first, schema), "packed")
     merged = done.where("left >= 0").groupBy(F.floor(F.col("left") / MERGED)).applyInArrow(merge, schema)
