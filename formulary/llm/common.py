@@ -38,6 +38,27 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Gives memory that is free back to the system: Python workers are used again and would keep it beside what the next task needs."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives memory back when it ends."""
+
+    def tidy(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidy
+
+
 def per_text(docs: DataFrame, id_col: str, text_col: str, start: Callable[[], Callable[[list], list]], fields: str) -> DataFrame:
     """(doc_id, *fields): one row per row of docs. start() is called once a task and gives a function from texts to the fields' columns.
 
@@ -53,7 +74,7 @@ def per_text(docs: DataFrame, id_col: str, text_col: str, start: Callable[[], Ca
 
     small_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    return read.mapInArrow(run, "doc_id long, " + fields)
+    return read.mapInArrow(tidied(run), "doc_id long, " + fields)
 
 
 #: Bytes of a batch of rows that goes to Python, and Spark's own bound, which a session that asks for another one doesn't have.

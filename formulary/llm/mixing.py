@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from formulary.llm.common import SPACE, WORD, fresh, keyed, mix64, stored
+from formulary.llm.common import SPACE, WORD, fresh, keyed, mix64, stored, tidied
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 BLOCK, SEED = 128, 20240
@@ -144,7 +144,7 @@ class Mix:
                 key = mix64((source * 1_000_003 + j // n).astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed))
                 yield pd.DataFrame({"shard": s, "slot": k, "source_no": source.astype(np.int32), "block": permuted(j % n, n, key)})
 
-        return self.spark.range(total).mapInPandas(draw, "shard long, slot long, source_no int, block long")
+        return self.spark.range(total).mapInPandas(tidied(draw), "shard long, slot long, source_no int, block long")
 
     def _labelled(self, rows: DataFrame, *facts: str) -> DataFrame:
         """rows with facts of their source: its source_no (of those with words), source_size and target."""

@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from formulary.llm.common import small_batches, stored
+from formulary.llm.common import small_batches, stored, tidied
 
-CAPACITY, OPEN_WINDOWS, MIN_GAP, CACHE = 1024, 64, 16, 200_000
+CAPACITY, OPEN_WINDOWS, MIN_GAP, CACHE = 1024, 64, 16, 100_000
 #: Partitions whose leftovers are packed together.
 MERGED = 64
 
@@ -202,6 +202,6 @@ def pack(
 
     small_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    done = stored(read.mapInArrow(first, schema), "packed")
+    done = stored(read.mapInArrow(tidied(first), schema), "packed")
     merged = done.where("left >= 0").groupBy(F.floor(F.col("left") / MERGED)).applyInArrow(merge, schema)
     return done.where("left < 0").unionByName(merged).drop("left")

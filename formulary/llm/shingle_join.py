@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formulary.llm.common import Rolling, stored
+from formulary.llm.common import Rolling, stored, tidied
 from formulary.llm.components import components
 
 SHINGLE = 5
@@ -48,18 +48,19 @@ def _sets(rows: DataFrame, length: int) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"row": b["row"], "hashes": [shingles(t, rolling, length).tobytes() for t in b["text"]]})
 
-    return rows.select("row", "text").mapInPandas(make, "row long, hashes binary")
+    return rows.select("row", "text").mapInPandas(tidied(make), "row long, hashes binary")
 
 
 def _common(rows: DataFrame, n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are often seen, sorted, and how often."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rolling = Rolling()
         for b in batches:
-            yield pd.DataFrame({"x": np.frombuffer(b"".join(b["hashes"]), np.int64)})
+            yield pd.DataFrame({"x": np.concatenate([shingles(t, rolling, length) for t in b["text"]]).view(np.int64) if len(b) else []}, dtype=np.int64)
 
     some = rows.where(F.pmod(F.xxhash64("row", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * min(1, LEARNED / max(1, n))))
-    seen = _sets(some, length).select("hashes").mapInPandas(spread, "x long").groupBy("x").count().where("count > 3")
+    seen = some.select("text").mapInPandas(tidied(spread), "x long").groupBy("x").count().where("count > 3")
     found = seen.orderBy(F.desc("count"), "x").limit(TOLD).toPandas().sort_values("x")
     return found["x"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
 
@@ -84,7 +85,7 @@ def _heads(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], length: int,
                 out.append((row, hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if n else b"row %d" % row, n, sketch(hashes), head))
             yield pd.DataFrame(out, columns=["row", "same", "n", "sketch", "head"])
 
-    return rows.select("row", "text").mapInPandas(make, "row long, same binary, n long, sketch binary, head array<long>")
+    return rows.select("row", "text").mapInPandas(tidied(make), "row long, same binary, n long, sketch binary, head array<long>")
 
 
 def _pruned(pairs: DataFrame, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
@@ -95,7 +96,7 @@ def _pruned(pairs: DataFrame, keep: Callable[[np.ndarray, np.ndarray], np.ndarra
             if len(b):
                 yield b.loc[keep(*(np.frombuffer(b"".join(b[c]), np.uint64).reshape(len(b), -1) for c in "xy")), ["a", "b"]]
 
-    return pairs.select("a", "b", "x", "y").mapInPandas(prune, "a long, b long").distinct()
+    return pairs.select("a", "b", "x", "y").mapInPandas(tidied(prune), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, length: int, least: tuple[int, int]) -> DataFrame:
@@ -110,7 +111,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, length: int, least: tuple[int,
         some = rows.join(pairs.select(F.col(side).alias("row")).distinct(), "row", "left_semi")
         return _sets(some, length).select(F.col("row").alias(side), F.col("hashes").alias(into))
 
-    return pairs.join(sets("b", "y"), "b").join(sets("a", "x"), "a").select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
+    return pairs.join(sets("b", "y"), "b").join(sets("a", "x"), "a").select("a", "b", "x", "y").mapInPandas(tidied(check), "a long, b long")
 
 
 def firsts(rows: DataFrame, sketch: Callable[[np.ndarray], bytes], keep: Callable[[np.ndarray, np.ndarray], np.ndarray], length: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:

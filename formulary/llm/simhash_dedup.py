@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formulary.llm import shingle_join
-from formulary.llm.common import ascii_words, fresh, keyed, mix64, per_text, settled, stored
+from formulary.llm.common import ascii_words, fresh, keyed, mix64, per_text, settled, stored, tidied
 from formulary.llm.components import Forest, components
 
 SEED = 42
@@ -248,7 +248,7 @@ def links(classes: DataFrame, ring: Ring = CONTRACT, per_group: int = 1_000_000)
         moved = np.flatnonzero(roots != np.arange(len(roots)))
         return pd.DataFrame({"a": reps[moved], "b": reps[roots[moved]]})
 
-    sent = classes.select("rep", "fp").mapInPandas(send, "g int, n_own int, lanes binary, reps binary, codes binary, rows binary")
+    sent = classes.select("rep", "fp").mapInPandas(tidied(send), "g int, n_own int, lanes binary, reps binary, codes binary, rows binary")
     return sent.groupBy("g").applyInPandas(meet, "a long, b long")
 
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formulary.llm.common import Rolling, fresh, keyed, settled, stored
+from formulary.llm.common import Rolling, fresh, give_back, keyed, settled, stored
 
 SPAN, BUCKET_BYTES, GROUP_WINDOWS = 50, 4 << 20, 2_000_000
 #: Null ids come after all others.
@@ -31,6 +31,20 @@ _SENT = "g int, bucket int, keys binary, counts array<int>"
 _BACK = "bucket int, keys binary, owners binary"
 
 
+def _light(of):
+    """A function of a group, or of two, that gives memory back after each."""
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        give_back()
+        return of(group)
+
+    def two(group: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        give_back()
+        return of(group, back)
+
+    return two if of.__code__.co_argcount == 2 else one
+
+
 class _Bucket:
     """The documents of one bucket, with the hashes of all their windows."""
 
@@ -210,12 +224,12 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = max(16, -(-(size["b"] or 0) // (6 * GROUP_WINDOWS)))
     spread = F.xxhash64("_id", F.when(F.col("_id").isNull(), F.col("_text")))  # rows without an id spread by their text
     rows = rows.select(F.coalesce("_id", F.lit(int(LAST))).alias("_order"), "_text", F.pmod(spread, F.lit(buckets)).cast("int").alias("bucket"))
-    sent = rows.groupBy("bucket").applyInPandas(lambda g: _probe(g, block, groups), _SENT)
-    hits = stored(sent.groupBy("g").applyInPandas(_index, _BACK), "anchors")
-    whole = rows.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInPandas(lambda a, b: _extend(a, b, span, block, groups, groups), _SENT + ", owners binary")
-    owners = stored(whole.groupBy("g").applyInPandas(_owners, _BACK), "repeats")
+    sent = rows.groupBy("bucket").applyInPandas(_light(lambda g: _probe(g, block, groups)), _SENT)
+    hits = stored(sent.groupBy("g").applyInPandas(_light(_index), _BACK), "anchors")
+    whole = rows.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInPandas(_light(lambda a, b: _extend(a, b, span, block, groups, groups)), _SENT + ", owners binary")
+    owners = stored(whole.groupBy("g").applyInPandas(_light(_owners), _BACK), "repeats")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<from_word:long,to_word:long>>" + ", kept_text string" * with_text
-    return rows.groupBy("bucket").cogroup(owners.groupBy("bucket")).applyInPandas(lambda a, b: _removed(a, b, span, with_text), schema)
+    return rows.groupBy("bucket").cogroup(owners.groupBy("bucket")).applyInPandas(_light(lambda a, b: _removed(a, b, span, with_text)), schema)
 
 
 def deduplicated(docs: DataFrame, span: int = SPAN) -> DataFrame:
