@@ -107,7 +107,8 @@ def scores(hyp: Column | str, ref: Column | str) -> dict[str, Column]:
     out = {"exact": (h == r).cast("double"), "tok_edit": token_edit(h, r)}
     for name, pattern in CLASSES.items():
         theirs = found(r, pattern)
-        out |= {f"{name}_hit": multiset_hits(found(h, pattern), theirs), f"{name}_total": F.size(theirs)}
+        hits = F.when(h == r, F.size(theirs)).otherwise(multiset_hits(found(h, pattern), theirs))
+        out |= {f"{name}_hit": hits, f"{name}_total": F.size(theirs)}
     return out
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formulary.functions.latex import md5_share, norm_latex, split_key, valid_latex
+from formulary.functions.names import fresh
 
 #: Upper ends of the shares of the hash, by split; what is above goes to train.
 TEMPLATE_SPLITS, TREE_SPLITS = {"test": 0.08, "validation": 0.11}, {"test_comp": 0.03, "validation": 0.05}
@@ -22,28 +24,49 @@ def split_of(key: Column | str, bounds: dict[str, float], rest: str = "train") -
 
 
 def capped(rows: DataFrame, by: list, order: list, most: int, exempt: Column | None = None) -> DataFrame:
-    """The first so many rows of each key; exempt rows always stay and don't count."""
-    free = F.lit(False) if exempt is None else exempt
-    place = F.row_number().over(Window.partitionBy(*by, free).orderBy(*order))
-    return rows.withColumn("_place", place).where(free | (F.col("_place") <= most)).drop("_place")
+    """The first so many rows of each key; exempt rows always stay and don't count. A null key is a key; rows that tie in order are told apart by nothing else, so either may stay."""
+    free = F.lit(False) if exempt is None else F.coalesce(exempt, F.lit(False))
+    (place,) = fresh(rows, "_place")
+    at = F.row_number().over(Window.partitionBy(*by, free).orderBy(*order))
+    return rows.withColumn(place, at).where(free | (F.col(place) <= most)).drop(place)
+
+
+#: Parts over which rows without a place in the order are spread.
+UNPLACED = 64
+
+
+def placed(rows: DataFrame, order: str, into: str, stretch: int = 100_000) -> DataFrame:
+    """rows with their place, from 0 on, in the order of a whole-number column; rows where it is null come last, and equal ones next to each other.
+
+    Rows are counted by stretches of the column first, so that no task sorts all of them.
+    """
+    part, at, start = fresh(rows.withColumn(into, F.lit(0)), "_part", "_at", "_start")
+    lacking = F.lit((1 << 62) // stretch) + F.pmod(F.xxhash64(*rows.columns), F.lit(UNPLACED))
+    split = rows.withColumn(part, F.coalesce(F.floor(F.col(order) / stretch), lacking))
+    split = split.withColumn(at, F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1)
+    before = F.coalesce(F.sum("count").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = split.groupBy(part).count().select(part, before.alias(start))
+    return split.join(starts, part).withColumn(into, F.col(start) + F.col(at)).select(*[c for c in rows.columns if c != into], into)
 
 
 def numbered(rows: DataFrame, order: str, into: str, pattern: str = "e%06d", stretch: int = 100_000) -> DataFrame:
-    """Dense ids in the order of a whole-number column: rows are counted by stretches of it first, so that no task sorts all of them."""
-    part = F.floor(F.col(order) / stretch)
-    placed = rows.withColumn("_part", part).withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
-    counts = placed.groupBy("_part").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_part", before.alias("_start"))
-    return placed.join(starts, "_part").withColumn(into, F.format_string(pattern, F.col("_start") + F.col("_at"))).drop("_part", "_at", "_start")
+    """Dense ids in the order of a whole-number column, by placed(): every row gets one."""
+    return placed(rows, order, into, stretch).withColumn(into, F.format_string(pattern, F.col(into)))
+
+
+def first_rows(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """The first n rows in the order of a whole-number column, without a sort of all."""
+    (at,) = fresh(rows, "_at")
+    return placed(rows, order, at).where(F.col(at) < n).drop(at)
 
 
 def merged(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """One row a key: the last value by order (ties: the greatest), old rows before new; combined in each task before the shuffle."""
-    both = old.withColumn("_gen", F.lit(0)).unionByName(new.withColumn("_gen", F.lit(1)))
-    rest = [c for c in both.columns if c not in (key, "_gen")]
-    last = both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("_gen", order, *rest)).alias("_last"))
-    return last.select(key, "_last.*")
+    """One row a key: the last value by order (ties: the greatest), old rows before new; combined in each task before the shuffle. A null key is a key."""
+    gen, last = fresh(old, "_gen", "_last")
+    both = old.withColumn(gen, F.lit(0)).unionByName(new.withColumn(gen, F.lit(1)))
+    rest = [c for c in both.columns if c not in (key, gen)]
+    kept = both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(gen, order, *rest)).alias(last))
+    return kept.select(key, f"{last}.*")
 
 
 def unseen(rows: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
@@ -51,19 +74,49 @@ def unseen(rows: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     return rows.join(done.select(key), key, "left_anti")
 
 
+def _in_train() -> Column:
+    return F.col("split").eqNullSafe("train")
+
+
+def without(rows: DataFrame, others: DataFrame, text: str, key: Callable[[str], Column]) -> DataFrame:
+    """rows whose text, under a key, is none of the others' texts. A row whose key is null stays."""
+    (own,) = fresh(rows, "_key")
+    return rows.withColumn(own, key(text)).join(others.select(key(text).alias(own)).distinct(), own, "left_anti").select(rows.columns)
+
+
 def leak_free(rows: DataFrame, text: str = "latex") -> DataFrame:
-    """Rows of train, and of other splits those whose text without spaces train doesn't hold."""
-    train = rows.where("split = 'train'")
-    keys = train.select(split_key(text).alias("_key")).distinct()
-    rest = rows.where("split <> 'train'").withColumn("_key", split_key(text)).join(keys, "_key", "left_anti").drop("_key")
-    return train.unionByName(rest)
+    """Rows of train, and of other splits, no split among them, those whose text without spaces train doesn't hold."""
+    train = rows.where(_in_train())
+    return train.unionByName(without(rows.where(~_in_train()), train, text, split_key))
+
+
+def unbanned(rows: DataFrame, banned: DataFrame, text: str = "latex") -> DataFrame:
+    """rows without those whose normal form is that of a banned row."""
+    return without(rows, banned, text, norm_latex)
 
 
 def leakage(rows: DataFrame, text: str = "target_text") -> DataFrame:
-    """(split, train_overlap): rows of each other split whose normal form train holds; 0 for a clean split."""
-    train = rows.where("split = 'train'").select(norm_latex(text).alias("_key")).distinct().withColumn("_hit", F.lit(1))
-    others = rows.where("split <> 'train'").withColumn("_key", norm_latex(text))
-    return others.join(train, "_key", "left").groupBy("split").agg(F.count("_hit").alias("train_overlap"))
+    """(split, train_overlap): rows of each other split whose normal form train holds; 0 for a clean split. Rows without a split are a split, null."""
+    key, hit = fresh(rows, "_key", "_hit")
+    train = rows.where(_in_train()).select(norm_latex(text).alias(key)).distinct().withColumn(hit, F.lit(1))
+    others = rows.where(~_in_train()).withColumn(key, norm_latex(text))
+    return others.join(train, key, "left").groupBy("split").agg(F.count(hit).alias("train_overlap"))
+
+
+def synthesized(spoken: DataFrame, made: DataFrame, order: str = "ord") -> DataFrame:
+    """Spoken rows that have a recording, with its duration: the last one of an id counts, of several the longest. Rows without an id have none."""
+    last = made.groupBy("id").agg(F.max_by("duration", F.struct(order, "duration")).alias("duration"))
+    return spoken.drop("duration").join(last, "id")
+
+
+def trainable(rows: DataFrame, most: float = 20.0) -> DataFrame:
+    """Rows that last at most so many seconds; an unknown duration is too long."""
+    return rows.where(F.col("duration") <= most)
+
+
+def acceptance(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows accepted and all rows, by the columns given; null counts as not accepted."""
+    return rows.groupBy(*by).agg(F.count_if(F.coalesce("accepted", F.lit(False))).alias("accepted"), F.count("*").alias("total"))
 
 
 def variants(rows: DataFrame, times: Column | int, voices: list[str], speeds: list[float]) -> DataFrame:
@@ -75,8 +128,9 @@ def variants(rows: DataFrame, times: Column | int, voices: list[str], speeds: li
 
 
 def shard(rows: DataFrame, order: str, n: int, which: int) -> DataFrame:
-    """Every n-th row by a whole-number column."""
-    return rows.where(F.pmod(F.col(order), F.lit(n)) == which)
+    """Every n-th row, from the one at place which on, in the order of a whole-number column."""
+    (at,) = fresh(rows, "_at")
+    return placed(rows, order, at).where(F.col(at) % n == which).drop(at)
 
 
 def manifest(synthetic: DataFrame, real: DataFrame, root: str = "/data/") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formulary.functions.latex import CLASSES, norm_latex, scores, word_error_rate
+from formulary.functions.names import fresh
 
 
 def long_predictions(wide: DataFrame, key: str = "id") -> DataFrame:
@@ -14,9 +15,15 @@ def long_predictions(wide: DataFrame, key: str = "id") -> DataFrame:
 
 
 def scored(rows: DataFrame, hyp: str = "hyp", ref: str = "target_text") -> DataFrame:
-    """rows with exact, tok_edit, and hits and total of each class. Normal forms are made once, before anything reads them."""
-    normal = rows.withColumns({"_h": norm_latex(hyp), "_r": norm_latex(ref)})
-    return normal.withColumns(scores("_h", "_r")).drop("_h", "_r")
+    """rows with exact, tok_edit, and hits and total of each class. Null counts as the empty formula.
+
+    A pair of texts is scored once, however many rows have it: scores cost far more than joining them back.
+    """
+    h, r = fresh(rows, "_h", "_r")
+    pairs = rows.select(F.col(hyp).alias(h), F.col(ref).alias(r)).distinct()
+    (nh, nr) = fresh(pairs, "_nh", "_nr")
+    made = pairs.withColumns({nh: norm_latex(h), nr: norm_latex(r)}).withColumns(scores(nh, nr)).drop(nh, nr)
+    return rows.join(made, rows[hyp].eqNullSafe(made[h]) & rows[ref].eqNullSafe(made[r])).drop(h, r)
 
 
 def aggregated(rows: DataFrame, *by: str) -> DataFrame:
@@ -30,7 +37,7 @@ def aggregated(rows: DataFrame, *by: str) -> DataFrame:
 
 def word_errors(rows: DataFrame, *by: str, hyp: str = "hyp", ref: str = "spoken_transcript") -> DataFrame:
     """Mean word error rate of each group."""
-    return rows.withColumn("_wer", word_error_rate(hyp, ref)).groupBy(*by).agg(F.avg("_wer").alias("wer_vs_spoken"))
+    return rows.groupBy(*by).agg(F.avg(word_error_rate(hyp, ref)).alias("wer_vs_spoken"))
 
 
 def by_domain(rows: DataFrame, systems: list[str]) -> DataFrame:

@@ -36,6 +36,17 @@ def capped_pick(rows: DataFrame, order: list[Column], n: int = 24, per_domain: i
     return few.coalesce(1).mapInPandas(walk, schema)
 
 
+def demonstrable(rows: DataFrame) -> DataFrame:
+    """Rows that are right (ok_direct) with a formula of more than 12 and less than 90 characters; null counts as wrong."""
+    return rows.where(F.coalesce("ok_direct", F.lit(False)) & (F.length("truth") > 12) & (F.length("truth") < 90))
+
+
+def demonstration(rows: DataFrame, **caps) -> DataFrame:
+    """capped_pick() of the demonstrable rows: first those that the rules get wrong, of unseen templates, difficult and long ones; then by id."""
+    order = [F.col("ok_rules"), ~F.col("split").eqNullSafe("test_ood"), F.desc("difficulty"), F.desc(F.length("truth")), F.col("id")]
+    return capped_pick(demonstrable(rows), order, **caps)
+
+
 def sampled(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """So many rows, the same for the same seed: those with the smallest hash of key and seed."""
     return rows.withColumn("_h", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))).orderBy("_h", key).limit(n).drop("_h")
@@ -68,7 +79,12 @@ def catalogue(hits: DataFrame) -> DataFrame:
     one = one.withColumns({"license": F.get(tagged("tags", "license"), F.lit(0)), "modality": tagged("tags", "modality"), "tasks": tagged("tags", "task_categories")})
     audio = F.array_contains("modality", "audio") | F.exists("tasks", lambda t: t.contains("speech") | t.contains("audio"))
     one = one.withColumns({"is_audio": audio, "permissive": F.coalesce(F.col("license").isin(PERMISSIVE), F.lit(False))})
-    return one.withColumn("usable", F.col("is_audio") & F.col("permissive") & ~F.col("gated")).drop("tags")
+    return one.withColumn("usable", is_usable()).drop("tags")
+
+
+def is_usable() -> Column:
+    """Audio under a permissive licence, not gated; unknown counts as not."""
+    return F.coalesce(F.col("is_audio") & F.col("permissive") & ~F.col("gated"), F.lit(False))
 
 
 def ranked(datasets: DataFrame) -> DataFrame:

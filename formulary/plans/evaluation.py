@@ -27,7 +27,8 @@ def dataset(templates: DataFrame, held_out: DataFrame, unseen: DataFrame, compos
     """Expressions with splits and dense ids, from four pools of drawn formulas (ord, latex, …).
 
     Templates split by hash, at most two of a formula outside train and none that train holds; the
-    held-out pool once a formula; composed ones without any that the other pools hold outside train.
+    held-out pool once a formula; the unseen pool as it is; composed ones without any whose normal
+    form one of the other pools holds.
     """
     base = templates.withColumn("split", datasets.split_of("latex", datasets.TEMPLATE_SPLITS))
     key = F.replace("latex", F.lit(" "), F.lit(""))
@@ -35,6 +36,5 @@ def dataset(templates: DataFrame, held_out: DataFrame, unseen: DataFrame, compos
     hard = datasets.capped(held_out, ["latex"], ["ord"], 1).withColumn("split", F.lit("test_hard"))
     base = datasets.numbered(base.unionByName(hard.withColumn("ord", F.col("ord") + (1 << 40))), "ord", "expr_id")
     odd = datasets.numbered(unseen.withColumn("split", F.lit("test_ood")), "ord", "expr_id", "o%04d")
-    banned = base.unionByName(odd).select(F.replace("latex", F.lit(" "), F.lit("")).alias("_key")).distinct()
-    trees = composed.withColumn("_key", key).join(banned, "_key", "left_anti").drop("_key").withColumn("split", datasets.split_of("latex", datasets.TREE_SPLITS))
+    trees = datasets.unbanned(composed, base.unionByName(odd)).withColumn("split", datasets.split_of("latex", datasets.TREE_SPLITS))
     return base.unionByName(odd).unionByName(datasets.numbered(trees, "ord", "expr_id", "c%06d"))

@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from formulary import phrase_queries
 from formulary.functions import latex, spoken
 from formulary.operators import datasets, normalize, scoring, selection
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict = {**phrase_queries.QUERIES}
+ORACLES: dict[str, str] = {**phrase_queries.ORACLES}
 
 
 def query(sql: str | None):
@@ -167,21 +168,17 @@ def tracker_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = lambda x: f"list_filter(string_split(trim(regexp_replace(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w <> '')"
 
 
-@query(f"""WITH c AS (SELECT a.conv_id, a.turn, a.text AS ref, regexp_replace(regexp_replace(a.text, '(\\w+) (\\w+)\\.', '\\2 \\1', 'g'), ' t', ' ', 'g') AS hyp, a.role FROM conversations a WHERE length(a.text) < 400),
-w AS (SELECT role, {_WORDS("hyp")} AS h, CASE WHEN len({_WORDS("ref")}) = 0 THEN ['x'] ELSE {_WORDS("ref")} END AS r FROM c)
-SELECT role, avg({_distance("h", "r")} / len(r)) AS wer_vs_spoken FROM w GROUP BY role""")
-def word_error_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").where("length(text) < 400")
-    hyp = F.regexp_replace(F.regexp_replace("text", r"(\w+) (\w+)\.", "$2 $1"), " t", " ")
-    return scoring.word_errors(c.withColumn("hyp", hyp), "role", ref="text")
+@query(f"""WITH w AS (SELECT p_brand AS brand, {_WORDS("regexp_replace(p_name, '(\\w+) (\\w+)', '\\2 x-\\1')")} AS h, CASE WHEN len({_WORDS("p_name")}) = 0 THEN ['x'] ELSE {_WORDS("p_name")} END AS r FROM part)
+SELECT brand, avg({_distance("h", "r")} / len(r)) AS wer_vs_spoken FROM w GROUP BY brand""")
+def word_error_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), "p_name")
+    first = F.concat(F.regexp_replace(F.regexp_extract("p_name", r"^(.*?)(\w+) (\w+)", 0), r"(\w+) (\w+)", "$2 x-$1"), F.regexp_replace("p_name", r"^.*?(\w+) (\w+)", ""))
+    return scoring.word_errors(names.withColumn("hyp", first), "brand", ref="p_name")
 
 
 @query(None)
-def word_error_by_role_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """word_error_by_role over every turn, long ones and nulls (which count as empty) too; tests hold it against a plain word edit distance.
-
-    DuckDB's levenshtein compares bytes, so it can't check turns of many distinct words.
-    """
+def word_error_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word errors of every turn, long ones and nulls (which count as empty) too; tests hold it against a plain word edit distance, as DuckDB compares bytes and turns have more distinct words than there are."""
     hyp = F.regexp_replace(F.regexp_replace("text", r"(\w+) (\w+)\.", "$2 $1"), " t", " ")
     return scoring.word_errors(table(spark, sf_dir, "conversations").withColumn("hyp", hyp), "role", ref="text")
 
@@ -218,9 +215,9 @@ def first_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.capped(pairs(spark, sf_dir), ["target_text"], ["id"], 1).select("id", "target_text")
 
 
-@query("SELECT o_orderkey AS ord, concat('e', lpad((row_number() OVER (ORDER BY o_orderkey) - 1)::VARCHAR, 6, '0')) AS expr_id FROM orders WHERE o_totalprice > 100000")
+@query("SELECT o_orderkey AS ord, concat('e', format('{:06d}', row_number() OVER (ORDER BY o_orderkey) - 1)) AS expr_id FROM orders")
 def dense_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_totalprice > 100000").select(F.col("o_orderkey").alias("ord"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"))
     return datasets.numbered(rows, "ord", "expr_id")
 
 
@@ -255,7 +252,7 @@ def voice_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.variants(rows, F.when(F.col("p_size") % 2 == 0, 6).otherwise(2), ["ann", "bob"], [0.9, 1.0, 1.1]).select("id", "voice", "speed")
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_id % 4 = 1")
+@query("SELECT event_id, event_type FROM events QUALIFY (row_number() OVER (ORDER BY event_id) - 1) % 4 = 1")
 def round_robin_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.shard(table(spark, sf_dir, "events"), "event_id", 4, 1).select("event_id", "event_type")
 
@@ -336,9 +333,50 @@ def report_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def demo_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy pick under caps; tests hold it against a plain loop."""
-    rows = pairs(spark, sf_dir).select("id", "split", "domain", F.col("target_text").alias("truth"))
-    return selection.capped_pick(rows, [F.col("split") != "test_ood", F.desc(F.length("truth")), F.col("id")])
+    """Greedy pick under caps of the rows that are right, in the order of a demonstration; tests hold it against a plain loop."""
+    return selection.demonstration(scored_demo(spark, sf_dir))
+
+
+def scored_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    same = lambda c: F.coalesce(latex.norm_latex(c) == latex.norm_latex("target_text"), F.lit(False))
+    rows = pairs(spark, sf_dir).withColumns({"ok_direct": same("rules"), "ok_rules": same("direct"), "difficulty": (F.col("id") % 5).cast("int")})
+    return rows.select("id", "split", "domain", "difficulty", "ok_direct", "ok_rules", F.col("target_text").alias("truth"))
+
+
+@query(f"""WITH p AS ({PAIRS}) SELECT id, domain, difficulty, length(target_text)::INT AS size FROM (SELECT *, (id % 5)::INT AS difficulty FROM p) WHERE {norm_sql("rules")} = {norm_sql("target_text")} AND length(target_text) > 12 AND length(target_text) < 90""")
+def demo_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.demonstrable(scored_demo(spark, sf_dir)).select("id", "domain", "difficulty", F.length("truth").alias("size"))
+
+
+@query("""WITH m AS (SELECT l_orderkey AS id, l_quantity AS duration FROM lineitem WHERE l_returnflag = 'R' QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_quantity DESC) = 1)
+SELECT o_orderkey AS id, duration FROM orders JOIN m ON o_orderkey = id""")
+def recorded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").alias("duration"), F.col("l_linenumber").alias("ord"))
+    return datasets.synthesized(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), made)
+
+
+@query("""WITH m AS (SELECT l_orderkey AS id, l_quantity AS duration FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_quantity DESC) = 1) SELECT id, duration FROM m WHERE duration <= 20""")
+def short_enough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").alias("duration"), F.col("l_linenumber").alias("ord"))
+    return datasets.trainable(datasets.synthesized(made.select("id").distinct(), made))
+
+
+@query(f"""WITH p AS (SELECT id, split, {norm_sql('target_text')} AS k FROM ({PAIRS})) SELECT id, split FROM p WHERE split = 'train' AND k NOT IN (SELECT k FROM p WHERE split = 'test_ood')""")
+def unbanned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pairs(spark, sf_dir)
+    return datasets.unbanned(rows.where("split = 'train'"), rows.where("split = 'test_ood'"), "target_text").select("id", "split")
+
+
+@query("SELECT event_id, value FROM events ORDER BY event_id LIMIT 1234")
+def first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truncation to a number of rows in order, which is the operator; no sort of all rows."""
+    return datasets.first_rows(table(spark, sf_dir, "events").select("event_id", "value"), "event_id", 1234)
+
+
+@query("SELECT o_orderpriority AS split, count(*) FILTER (o_orderstatus = 'F') AS accepted, count(*) AS total FROM orders GROUP BY 1")
+def acceptance_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("split"), (F.col("o_orderstatus") == "F").alias("accepted"))
+    return datasets.acceptance(rows, "split")
 
 
 @query("SELECT o_orderpriority AS split, sum(l_extendedprice * l_quantity) / greatest(1, sum(l_quantity)) AS mean_loss FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
@@ -347,9 +385,9 @@ def weighted_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.mean_loss(rows.select(F.col("o_orderpriority").alias("split"), F.col("l_extendedprice").alias("loss"), F.col("l_quantity").alias("tokens")), "split")
 
 
-@query("SELECT (((event_id - 1) // 10 + 1) * 10)::BIGINT AS upto, avg(value) AS mean_loss FROM events WHERE event_id > 0 GROUP BY 1")
+@query("SELECT ((floor((event_id - 1) / 10.0) + 1) * 10)::BIGINT AS upto, avg(value) AS mean_loss FROM events GROUP BY 1")
 def running_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.running_loss(table(spark, sf_dir, "events").where("event_id > 0").select(F.col("event_id").alias("step"), F.col("value").alias("loss")))
+    return scoring.running_loss(table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), F.col("value").alias("loss")))
 
 
 # -- spoken text -----------------------------------------------------------------------------------
@@ -390,7 +428,15 @@ def metrics_by_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def formula_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many drawn formulas as there are parts; tests hold their properties."""
+    """As many drawn formulas as there are parts; tests hold their number and properties."""
     from formulary.sources.formulas import expressions
 
     return expressions(spark, table(spark, sf_dir, "part").count(), seed=1)
+
+
+@query(None)
+def composed_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many random trees as there are parts; tests hold their number and properties."""
+    from formulary.sources.formulas import composed
+
+    return composed(spark, table(spark, sf_dir, "part").count(), seed=1)

@@ -31,18 +31,20 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_demo_pick_is_the_greedy_walk(spark):
-    from formulary.queries import pairs
+    from formulary.operators.selection import demonstrable
+    from formulary.queries import scored_demo
 
-    table = pairs(spark, DATA).select("id", "split", "domain", "target_text").collect()
-    table.sort(key=lambda r: (r["split"] != "test_ood", -len(r["target_text"]), r["id"]))
+    table = demonstrable(scored_demo(spark, DATA)).collect()
+    assert table and all(r["ok_direct"] and 12 < len(r["truth"]) < 90 for r in table)
+    table.sort(key=lambda r: (r["ok_rules"], r["split"] != "test_ood", -r["difficulty"], -len(r["truth"]), r["id"]))
     seen, domains, splits, want = set(), Counter(), Counter(), []
     for r in table:
-        key = r["target_text"].replace(" ", "")
+        key = r["truth"].replace(" ", "")
         if len(want) < 24 and key not in seen and domains[r["domain"]] < 3 and splits[r["split"]] < 10:
             seen.add(key)
             domains[r["domain"]] += 1
             splits[r["split"]] += 1
-            want.append(r["target_text"])
+            want.append(r["truth"])
     got = [r["truth"] for r in QUERIES["demo_pick"](spark, DATA).orderBy("pick").collect()]
     assert got == want
 

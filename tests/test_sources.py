@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from formulary.functions.latex import norm_latex, valid_latex
 from formulary.functions.render import latex_to_text, remaining_commands
 from formulary.operators.normalize import canonicalized
-from formulary.sources.formulas import TEMPLATES, Pool, expressions
+from formulary.sources.formulas import MOST_TEX, MOST_WORDS, TEMPLATES, Pool, composed, expressions
 from formulary.sources.jsonl import read_splits, write_lines
 
 
@@ -19,6 +19,28 @@ def test_formulas_are_valid_and_diverse(spark):
     assert sorted(map(str, rows.collect())) == sorted(map(str, again.collect()))
 
 
+def test_as_many_formulas_as_asked_for(spark):
+    assert expressions(spark, 1500, seed=2, pool=Pool(domains=("cs", "algebra"))).count() == 1500
+    assert expressions(spark, 0).count() == 0 and expressions(spark, 5, pool=Pool(domains=("none",))).count() == 0
+    few = expressions(spark, 2000, seed=3, pool=Pool(held_out=True, domains=("ml", "algebra")))  # two formulas, 40 times each
+    assert few.count() == 80
+
+
+def test_templates_by_domain():
+    count = {d: sum(t[0] == d for t in TEMPLATES) for d in {t[0] for t in TEMPLATES}}
+    assert count == {"algebra": 10, "calculus": 12, "linear_algebra": 7, "probability": 7, "set_theory": 5, "analysis": 6, "ml": 8, "physics": 6, "chemistry": 3, "cs": 4}
+
+
+def test_trees_are_valid_short_and_rarely_repeated(spark):
+    rows = composed(spark, 600, seed=4).cache()
+    assert rows.count() == 600 and rows.select("domain").distinct().count() == 10
+    assert rows.where(~valid_latex("latex") | (F.col("spoken_text") == "") | (F.length("latex") > MOST_TEX) | (F.size(F.split("spoken_text", " ")) > MOST_WORDS)).count() == 0
+    assert rows.groupBy(F.replace("latex", F.lit(" "), F.lit(""))).count().where("count > 3").count() == 0
+    assert rows.where("difficulty < 2 or difficulty > 5").count() == 0
+    assert sum(bool(remaining_commands(latex_to_text(r["latex"]))) for r in rows.collect()) == 0
+    assert sorted(map(str, rows.collect())) == sorted(map(str, composed(spark.newSession(), 600, seed=4).collect()))
+
+
 def test_held_out_templates_are_a_pool_of_their_own(spark):
     rows = expressions(spark, 300, seed=1, pool=Pool(held_out=True))
     assert rows.where("not heldout").count() == 0 and rows.select("template").distinct().count() == sum(t[2] for t in TEMPLATES) == 9
@@ -54,3 +76,56 @@ def test_reports(spark):
     assert json.loads(document(rows, "name")) == {"a|b": {"share": 0.5, "n": None}, "<c>": {"share": 1.0, "n": 2}}
     assert markdown(rows).splitlines()[2] == "| a\\|b | 0.500 |  |"
     assert "&lt;c&gt;" in page(rows, "x") and page(rows, "x").count("<tr>") == 3
+
+
+def test_unseen_pools_and_catalogues(spark, tmp_path):
+    import json
+
+    from formulary.operators.selection import is_usable, ranked
+    from formulary.sources.jsonl import read_candidates, read_first, read_unseen
+
+    (tmp_path / "odd.jsonl").write_text("".join(json.dumps({"domain": "ml", "latex": f"x_{k}", "spoken_text": f"x sub {k}", "more": 1}) + "\n" for k in range(5)))
+    rows = read_unseen(spark, str(tmp_path / "odd.jsonl")).orderBy("ord").collect()
+    assert [(r["ord"], r["latex"], r["difficulty"], r["heldout"]) for r in rows] == [(k, f"x_{k}", 4, True) for k in range(5)]
+    some = [{"id": "a", "license": "mit", "downloads": 3, "gated": False, "is_audio": True, "permissive": True}, {"id": "b", "downloads": 9, "gated": None, "is_audio": True, "permissive": True}]
+    (tmp_path / "all.json").write_text(json.dumps({"n": 2, "candidates": some}, indent=1))
+    table = read_candidates(spark, str(tmp_path / "all.json"))
+    assert [r["id"] for r in ranked(table).collect()] == ["b", "a"] and [r["id"] for r in table.where(is_usable()).collect()] == ["a"]
+    table.write.parquet(str(tmp_path / "p"))
+    assert read_first(spark, str(tmp_path / "p"), ["id"], 1).count() == 1 and read_first(spark, str(tmp_path / "p"), ["id"]).count() == 2
+
+
+def test_audio_is_decoded_and_made_noisy(spark, tmp_path):
+    import wave
+
+    import numpy as np
+
+    from formulary.sources.audio import augmented, read_audio
+
+    tone = np.sin(np.arange(44100) * 2 * np.pi * 440 / 44100)
+    for name, width in (("a", 2), ("b", 1), ("c", 3)):
+        scaled = ((tone + 1) * 127).astype(np.uint8) if width == 1 else (tone * (2 ** (8 * width - 1) - 1)).astype("<i4")
+        raw = scaled.tobytes() if width == 1 else scaled.view(np.uint8).reshape(-1, 4)[:, :width]
+        both = np.repeat(np.frombuffer(bytes(raw) if width == 1 else raw.tobytes(), np.uint8).reshape(-1, width), 2, 0).tobytes()
+        with wave.open(str(tmp_path / f"{name}.wav"), "wb") as f:
+            f.setnchannels(2), f.setsampwidth(width), f.setframerate(44100), f.writeframes(both)
+    (tmp_path / "d.wav").write_bytes(b"no audio")
+    rows = {r["path"][-5]: r for r in read_audio(spark, str(tmp_path), 0.5).collect()}
+    assert rows["d"]["samples"] is None and rows["d"]["duration"] is None
+    want = np.sin(np.arange(8000) * 2 * np.pi * 440 / 16000)
+    assert all(rows[k]["duration"] == 0.5 and np.abs(np.array(rows[k]["samples"]) - want).max() < 0.05 for k in "abc")
+    noise = augmented(read_audio(spark, str(tmp_path), 0.5), "path", 1.0)
+    got = {r["path"][-5]: r["samples"] for r in noise.collect()}
+    assert got["d"] is None and got["a"] != rows["a"]["samples"] and max(map(abs, got["a"])) <= 1
+    assert got == {r["path"][-5]: r["samples"] for r in noise.collect()}
+    assert augmented(read_audio(spark, str(tmp_path), 0.5), "path", 0.0).orderBy("path").collect()[0]["samples"] == rows["a"]["samples"]
+
+
+def test_settings(tmp_path):
+    from formulary.config import apply_settings, read_settings, rooted
+
+    (tmp_path / ".env").write_text("A=1 # one\n# B=2\n\nC = x=y\nnothing\n")
+    assert read_settings(tmp_path / ".env") == {"A": "1", "C": "x=y"} and read_settings(tmp_path / "none") == {}
+    there = {"A": "0"}
+    apply_settings(tmp_path / ".env", there)
+    assert there == {"A": "0", "C": "x=y"} and str(rooted("a/b", "/r")) == "/r/a/b" and str(rooted("/a", "/r")) == "/a"
