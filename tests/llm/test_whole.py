@@ -53,6 +53,40 @@ def test_near_duplicates_are_exact(spark, common):
     assert {i for i, *_ in rows} - kept == gone
 
 
+def test_a_crowd_in_many_blocks_is_compared_whole(spark, monkeypatch):
+    from formulary.llm import shingle_join
+
+    monkeypatch.setattr(shingle_join, "BLOCK_ROWS", 7)
+    r = random.Random(9)
+    base = [f"t{k}" for k in range(100)]
+
+    def copy(edits):
+        words = list(base)
+        for k in r.sample(range(100), edits):
+            words[k] = f"e{r.randrange(10**6)}"
+        return " ".join(words)
+
+    texts = [copy(r.choice([1, 2, 3, 4, 6, 12])) for _ in range(70)] + [" ".join(base)]
+    near = copy(9).split()
+    texts += [" ".join([*near[:-1], f"z{k}"]) for k in range(5)]  # near each other, not the rest
+    rows = [(k + 1, t, "a") for k, t in enumerate(texts)]
+    up = {i: i for i, *_ in rows}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a, _ in rows:
+        for j, b, _ in rows:
+            if i < j and similarity(a, b) >= 0.8:
+                x, y = sorted((root(i), root(j)))
+                up[y] = x
+    want = {i for i in up if root(i) == i}
+    assert 5 < len(want) < 60
+    assert {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").collect()} == want
+
+
 def test_rows_without_an_id_and_rows_that_share_one_stay_in_the_pipeline(spark):
     r = random.Random(2)
     make = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
