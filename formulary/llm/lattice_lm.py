@@ -1,10 +1,12 @@
 """Subword lattice likelihood: the probability of a text, summed over all its segmentations.
 
-A word is spelled by pieces of an existing vocabulary (its first piece begins with a space), or by
-bytes, or is one whole-word piece of the training corpus. Pieces are drawn independently, so a
-text's probability is the product over its words, times the end's, of the sum over each word's
-segmentations. The sum runs forward through the word's lattice in log space. Every string of words
-has a probability and they sum to at most 1: an unseen word pays for its spelling.
+A word's lattice has an edge for every piece of an existing vocabulary (its first piece begins with a
+space), for every byte, and, if training has seen the word, one for the whole word. One forward
+recursion in log space sums all its paths. Whole words are counted with a discount, and what is taken
+off them is the probability of leaving by way of pieces: so the corpus itself says how likely unseen
+words are. Pieces are drawn independently, weighted by the vocabulary's scores and by how often the
+corpus is expected to use them. A text's probability is the product over its words, times the end's;
+over all texts they sum to at most 1, as an unseen word pays for its spelling.
 """
 
 from __future__ import annotations
@@ -19,14 +21,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formulary.llm.common import ascii_words, fold, per_text, stored
+from formulary.llm.common import ascii_words, fold, per_text, stored, tidied
 
-#: Share of the probability that goes to spelled words.
-SPELLED = 0.01
-#: Words that are looked up where they stand. Only this many, no longer than that, are sent to all tasks; all others are joined.
-HEAD_WORDS, HEAD_BYTES = 1 << 17, 64
-#: Word types of the first rounds of estimation, on the driver. The last round is over all of them.
-WARM_TYPES, WARM_ROUNDS = 20_000, 4
+#: Words that are looked up where they stand: the most frequent ones, as many as fit both bounds, are sent to all tasks. All others are joined.
+HEAD_WORDS, HEAD_BYTES = 1 << 17, 4 << 20
+#: Rounds of re-estimation of the pieces, each over every word type of the training rows, and how many pieces the vocabulary's scores count for.
+ROUNDS, PRIOR = 1, 20_000
 FLUSH, BASE = 300_000, 0x9E3779B97F4A7C15 | 1
 
 
@@ -80,14 +80,17 @@ class Lattice:
         out[-1] = len(self.pieces) + words[:, end - 1].astype(np.int32)
         return out
 
-    def _forward(self, words: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    def _forward(self, words: np.ndarray, start: float = 0.0, whole: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Log sums of the paths to every place, from a start's weight on. whole: the weights of edges over whole words, which are not on the way of any other."""
         n, edges = words.shape[1], []
         total = np.full((n + 1, len(words)), -np.inf)
-        total[0] = 0
+        total[0] = start
         for end in range(1, n + 1):
             e = self._edges(words, end)
             back = [max(0, end - length) for length in range(1, self.longest + 1)] + [end - 1]
             terms = np.where(e >= 0, total[back] + self.logp[e], -np.inf)
+            if end == n and whole is not None:
+                terms = np.concatenate((terms, whole[None, :]))
             top = terms.max(0)
             total[end] = top + np.log(np.exp(terms - top).sum(0))
             edges.append(e)
@@ -102,11 +105,11 @@ class Lattice:
                 part = which[at : at + step]
                 yield part, np.frombuffer(b"".join([b" " + words[k] for k in part]), np.uint8).reshape(len(part), -1).astype(np.uint64)
 
-    def log_likelihoods(self, words: list[bytes]) -> np.ndarray:
-        """Natural log of the summed probability of each word's segmentations."""
+    def log_likelihoods(self, words: list[bytes], start: float = 0.0, whole: np.ndarray | None = None) -> np.ndarray:
+        """Natural log of the summed probability of each word's segmentations; start and whole as logs, whole of -inf where a word has no such edge."""
         out = np.zeros(len(words))
         for part, rows in self._batches(words):
-            out[part] = self._forward(rows)[0][-1]
+            out[part] = self._forward(rows, start, None if whole is None else whole[part])[0][-1]
         return out
 
     def expected(self, words: list[bytes], weights: np.ndarray) -> np.ndarray:
@@ -131,11 +134,6 @@ class Lattice:
         return out
 
 
-def _normal(counts: np.ndarray) -> np.ndarray:
-    counts = counts + 1e-2
-    return np.log(counts / counts.sum())
-
-
 def counted(docs: DataFrame, text_col: str, learns: Column) -> DataFrame:
     """(word, n): every word of the texts, lower-cased, with its count in the rows to learn from; the end of a text is the empty word. Combined in each task first."""
 
@@ -159,74 +157,86 @@ def counted(docs: DataFrame, text_col: str, learns: Column) -> DataFrame:
                 yield flushed()
         yield flushed()
 
-    rows = docs.select(F.col(text_col).alias("_text"), F.coalesce(learns, F.lit(False)).alias("_learns")).mapInPandas(count, "word binary, n long")
+    rows = docs.select(F.col(text_col).alias("_text"), F.coalesce(learns, F.lit(False)).alias("_learns")).mapInPandas(tidied(count), "word binary, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Model:
-    """What is learned: lexicon (word, n, base, logp), stored, and the totals. base and logp are log10."""
+    """What is learned: lexicon (word, n, base, logp), stored, and the totals. base and logp are log10.
 
-    def __init__(self, counts: DataFrame, pieces: dict[bytes, float], spelled: float = SPELLED) -> None:
+    discount: taken off the count of each word, from how many words are seen once and twice. spelled:
+    the share of all tokens that this frees for spelling.
+    """
+
+    def __init__(self, counts: DataFrame, pieces: dict[bytes, float], rounds: int = ROUNDS, prior_pieces: float = PRIOR) -> None:
         counts = stored(counts, "words")
-        total = counts.agg(F.sum("n").alias("tokens"), F.count_if(F.col("n") > 0).alias("types")).first()
+        word = F.octet_length("word") > 0
+        seen = lambda k: F.count_if(word & (F.col("n") == k))
+        total = counts.agg(F.sum("n").alias("tokens"), F.count_if(F.col("n") > 0).alias("types"), F.count_if(word & (F.col("n") > 0)).alias("words"), seen(1).alias("once"), seen(2).alias("twice")).first()
         self.tokens, self.types = int(total["tokens"] or 0), int(total["types"] or 0)
+        self.discount = total["once"] / (total["once"] + 2 * total["twice"]) if total["once"] else 0.5
+        self.spelled = self.discount * total["words"] / self.tokens if total["words"] else 1.0
         names, ranks = list(pieces), -np.array(list(pieces.values()))
-        prior = np.concatenate((1 / (10 + np.maximum(ranks, 0)), np.full(256, 1e-4)))
-        lattice = Lattice(names, np.log(prior / prior.sum()))
-        learned = counts.where("n > 0 and octet_length(word) > 0").select("word")
-        warm = learned.where(F.pmod(F.xxhash64("word"), F.lit(max(1, self.types // WARM_TYPES))) == 0).limit(4 * WARM_TYPES)
-        words = [bytes(r[0]) for r in warm.collect()]
-        for _ in range(WARM_ROUNDS if words else 0):  # every type counts once: spelling is for words that are rare or new
-            lattice.logp = _normal(lattice.expected(words, np.ones(len(words))))
-
-        def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            out = np.zeros(len(lattice.logp))
-            for b in batches:
-                out += lattice.expected(b["word"].tolist(), np.ones(len(b)))
-            some = np.flatnonzero(out)
-            yield pd.DataFrame({"piece": some, "x": out[some]})
-
-        sums = learned.mapInPandas(expect, "piece int, x double").groupBy("piece").agg(F.sum("x").alias("x")).collect()
-        full = np.zeros(len(lattice.logp))
-        for r in sums:
-            full[r["piece"]] = r["x"]
-        if sums:
-            lattice.logp = _normal(full)
-        self.lattice, self.spelled = lattice, spelled
-        whole, add, n_all = (1 - spelled) / max(1, self.tokens), math.log10(self.tokens + 0.5 * (self.types + 1)), self.tokens
+        prior = np.concatenate((1 / (10 + np.maximum(ranks, 0)), np.full(256, 1e-4)))  # scores are ranks: Zipf's law gives their weights
+        prior /= prior.sum()
+        self.lattice = Lattice(names, np.log(prior))
+        learned = counts.where(word & (F.col("n") > 0)).select("word")
+        for _ in range(rounds):  # every type counts once: spelling is for words that are rare or new
+            found = self._expected(learned)
+            self.lattice.logp = np.log((found + prior_pieces * prior) / (found.sum() + prior_pieces))
+        lattice, n_all, off, start = self.lattice, max(1, self.tokens), self.discount, math.log(self.spelled)
+        add = math.log10(self.tokens + 0.5 * (self.types + 1))
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 words, n = b["word"].tolist(), b["n"].to_numpy()
-                sub = np.where([len(w) > 0 for w in words], lattice.log_likelihoods(words), -np.inf)
+                end = np.array([not w for w in words], bool)
                 with np.errstate(divide="ignore"):
-                    logp = np.logaddexp(np.log(n * whole), np.log(spelled if n_all else 1.0) + sub) / math.log(10)
+                    whole = np.log(np.where(n > 0, n - np.where(end, 0, off), 0) / n_all)
+                logp = np.where(end, whole, lattice.log_likelihoods(words, start, whole)) / math.log(10)
                 yield pd.DataFrame({"word": words, "n": n, "base": np.log10(n + 0.5) - add, "logp": np.maximum(logp, -1e300)})
 
-        self.lexicon = stored(counts.mapInPandas(score, "word binary, n long, base double, logp double"), "lexicon")
+        self.lexicon = stored(counts.mapInPandas(tidied(score), "word binary, n long, base double, logp double"), "lexicon")
         self.end = (math.log10(0.5) - add, math.log10(0.5) - add, 0)
         row = self.lexicon.where("octet_length(word) = 0 and n > 0").first()
         if row:
             self.end = (row["base"], row["logp"], row["n"])
 
-    def head(self, most: int = HEAD_WORDS, longest: int = HEAD_BYTES) -> dict[bytes, tuple[int, float, float]]:
-        """The most frequent words, as many as fit the bound without cutting through words of one count."""
-        short = self.lexicon.where((F.octet_length("word") <= longest) & (F.octet_length("word") > 0))
-        least, held = None, 0
-        for r in short.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
-            if held + r["count"] > most:
+    def _expected(self, learned: DataFrame) -> np.ndarray:
+        """How often each piece is expected over all the words. Only these sums, one a piece, come to the driver."""
+        lattice = self.lattice
+
+        def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = np.zeros(len(lattice.logp))
+            for b in batches:
+                out += lattice.expected(b["word"].tolist(), np.ones(len(b)))
+            some = np.flatnonzero(out)
+            yield pd.DataFrame({"piece": some, "x": out[some]})
+
+        sums = learned.mapInPandas(tidied(expect), "piece int, x double").groupBy("piece").agg(F.sum("x").alias("x")).collect()
+        found = np.zeros(len(lattice.logp))
+        found[[r["piece"] for r in sums]] = [r["x"] for r in sums]
+        return found
+
+    def head(self, most: int = HEAD_WORDS, most_bytes: int = HEAD_BYTES) -> dict[bytes, tuple[int, float, float]]:
+        """The most frequent words, as many as fit the bounds without cutting through words of one count."""
+        words = self.lexicon.where(F.octet_length("word") > 0)
+        least, held, size = None, 0, 0
+        for r in words.groupBy("n").agg(F.count("*").alias("words"), F.sum(F.octet_length("word")).alias("bytes")).orderBy(F.desc("n")).toLocalIterator():
+            held, size = held + r["words"], size + r["bytes"]
+            if held > most or size > most_bytes:
                 break
-            least, held = r["n"], held + r["count"]
+            least = r["n"]
         if least is None:
             return {}
-        return {bytes(r["word"]): (r["n"] > 0, r["base"], r["logp"]) for r in short.where(F.col("n") >= least).collect()}
+        return {bytes(r["word"]): (r["n"] > 0, r["base"], r["logp"]) for r in words.where(F.col("n") >= least).collect()}
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score): one row per row of docs.
 
-    The texts' frequent words are scored where they stand. Rare words are joined to the lexicon one
-    row each; none of them is frequent, so no key of that join is hot. A null or empty text is its
+    The texts' frequent words are scored where they stand. The others, all of them rarer than those, are
+    joined to the lexicon, one row for each text and word. A null or empty text is its
     end alone. Repeated rows are scored each; an id may be null; an empty table gives no rows; other
     columns of docs aren't read. A word of many thousand bytes is spelled like any other.
     """
