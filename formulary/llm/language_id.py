@@ -16,10 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formulary.llm.common import fold, per_text
+from formulary.llm.common import fold, per_text, tidied
 
-#: At most about so many texts of each language are trained on, chosen by the hash of their id.
-PER_LANGUAGE = 1_500
+#: At most about so many texts of each language, and about so many in all, are trained on, chosen by the hash of their id.
+PER_LANGUAGE, IN_ALL = 1_500, 12_000
 BITS, ORDERS, WIDTH = 11, (2, 3, 4), 16
 EPOCHS, BATCH, RATE, SEED = 15, 64, 2.0, 3
 #: A prediction is rejected below the score under which this share of right held-back predictions lies.
@@ -72,52 +72,94 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fitted(texts: list[str], languages: list[str], epochs: int = EPOCHS, seed: int = SEED) -> Model:
-    """A model of texts with their languages. Every fifth text is held back for the temperature and the rejection."""
+def packed(x: np.ndarray) -> bytes:
+    """A row of weights without its zeros: places, then values in half precision."""
+    at = np.flatnonzero(x)
+    return at.astype("<u2").tobytes() + (x[at] * 1024).astype("<f2").tobytes()
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), len(ORDERS) << BITS), np.float32)
+    for row, raw in zip(out, rows, strict=True):
+        half = len(raw) // 2
+        row[np.frombuffer(raw[:half], "<u2")] = np.frombuffer(raw[half:], "<f2").astype(np.float32) / 1024
+    return out
+
+
+class Trainer:
+    """Table, heads and bias, moved together by stochastic steps. Averages of many slots are small, so they are scaled up."""
+
+    SCALE = 10.0
+
+    def __init__(self, languages: int, rng: np.random.Generator) -> None:
+        self.table = rng.normal(0, 0.1, (len(ORDERS) << BITS, WIDTH))
+        self.heads, self.bias = np.zeros((WIDTH, languages)), np.zeros(languages)
+
+    def loss(self, x: np.ndarray, y: np.ndarray) -> float:
+        """Mean of the negative log probabilities of the right languages."""
+        p = _softmax(self.SCALE * (x @ self.table) @ self.heads + self.bias)
+        return float(-np.log(p[np.arange(len(y)), y]).mean())
+
+    def slopes(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the loss by table, heads and bias."""
+        mean = self.SCALE * (x @ self.table)
+        off = _softmax(mean @ self.heads + self.bias)
+        off[np.arange(len(y)), y] -= 1
+        off /= len(y)
+        return self.SCALE * x.T @ (off @ self.heads.T), mean.T @ off, off.sum(0)
+
+    def step(self, x: np.ndarray, y: np.ndarray, rate: float) -> None:
+        used = np.flatnonzero(x.any(0))
+        mean = self.SCALE * (x[:, used] @ self.table[used])
+        off = _softmax(mean @ self.heads + self.bias)
+        off[np.arange(len(y)), y] -= 1
+        off /= len(y)
+        change = self.SCALE * x[:, used].T @ (off @ self.heads.T)
+        self.heads -= rate * mean.T @ off
+        self.bias -= rate * off.sum(0)
+        self.table[used] -= rate * change
+
+
+def fitted(rows: list[bytes], languages: list[str], epochs: int = EPOCHS, seed: int = SEED) -> Model:
+    """A model of texts (packed subwords) with their languages. Every fifth text is held back for the temperature and the rejection."""
     names = sorted(set(languages))
     rng = np.random.default_rng(seed)
-    width = len(ORDERS) << BITS
-    table, heads, bias = rng.normal(0, 0.1, (width, WIDTH)), np.zeros((WIDTH, len(names))), np.zeros(len(names))
-    model = Model(names, table, heads, bias, 1.0, 0.0)
+    t = Trainer(len(names), rng)
     if len(names) < 2:
-        return model
-    x, y = np.stack([subwords(t) for t in texts]), np.array([names.index(v) for v in languages])
-    back = np.arange(len(y)) % 5 == 4
-    xt, yt = x[~back], y[~back]
-    scale = 10.0  # averages of many slots are small
+        return Model(names, t.table, t.heads, t.bias, 1.0, 0.0)
+    y, back = np.array([names.index(v) for v in languages]), np.arange(len(languages)) % 5 == 4
+    own = np.flatnonzero(~back)
     for epoch in range(epochs):
-        order, rate = rng.permutation(len(yt)), RATE * (1 - epoch / epochs)
+        order = rng.permutation(own)
         for at in range(0, len(order), BATCH):
             k = order[at : at + BATCH]
-            mean = scale * (xt[k] @ table)
-            p = _softmax(mean @ heads + bias)
-            p[np.arange(len(k)), yt[k]] -= 1
-            p /= len(k)
-            back_to = p @ heads.T
-            heads -= rate * mean.T @ p
-            bias -= rate * p.sum(0)
-            used = np.flatnonzero(xt[k].any(0))
-            table[used] -= rate * scale * xt[k][:, used].T @ back_to
-    model = Model(names, scale * table, heads, bias, 1.0, 0.0)
+            t.step(unpacked([rows[i] for i in k]), y[k], RATE * (1 - epoch / epochs))
+    model = Model(names, t.SCALE * t.table, t.heads, t.bias, 1.0, 0.0)
     if back.any():
-        z = x[back] @ model.slots + bias
+        x = unpacked([rows[i] for i in np.flatnonzero(back)])
+        z = x @ model.slots + model.bias
         fits = [(-np.log(_softmax(z / t)[np.arange(len(z)), y[back]] + 1e-12).mean(), t) for t in 2.0 ** np.linspace(-4, 4, 65)]
         model.temperature = float(min(fits)[1])
-        p = model.probabilities(x[back])
+        p = model.probabilities(x)
         right = p.max(1)[p.argmax(1) == y[back]]
         model.least = float(np.quantile(right, REJECTED)) if len(right) else 0.0
     return model
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> pd.DataFrame:
-    """(text, lang) of labelled documents, about as many of each language as the bound, by the hash of the id; those without a letter teach nothing."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().collect()
-    slot, share = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)), F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], int((1 << 30) * min(1.0, per_language / r["count"]))).otherwise(share)
-    got = rows.where(slot < share).select("text", "lang", slot.alias("order")).orderBy("order", "text").toPandas()
-    return got[np.array([has_letter(t) for t in got["text"]], bool)]
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL) -> pd.DataFrame:
+    """(x, lang, order): subwords, packed, of labelled documents, about as many of each language as the bounds allow, by the hash of the id; those without a letter teach nothing. The driver gets no texts."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    counts = rows.groupBy("lang").count()
+    each = min(per_language, in_all // max(1, counts.count()))
+    slot = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
+    some = rows.join(counts, "lang").where(slot < F.lit(float(1 << 30)) * each / F.col("count")).select("text", "lang", slot.alias("order"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b[np.array([has_letter(t) for t in b["text"]], bool)]
+            yield pd.DataFrame({"x": [packed(subwords(t)) for t in b["text"]], "lang": b["lang"].tolist(), "order": b["order"].tolist()}, columns=["x", "lang", "order"])
+
+    return some.mapInPandas(tidied(pack), "x binary, lang string, order long").toPandas().sort_values(["order", "x"])
 
 
 def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,5 +189,5 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
 def held_out_predictions(docs: DataFrame, of: int = 5, out: int = 0) -> DataFrame:
     """Learns from the labelled documents outside one fold of the ids and predicts all: the columns of predicted() with held_out."""
     known = sample(docs.where(fold(F.col("doc_id"), of) != out))
-    rows = predicted(docs, fitted(known["text"].tolist(), known["lang"].tolist()))
+    rows = predicted(docs, fitted(known["x"].tolist(), known["lang"].tolist()))
     return rows.select("doc_id", (fold(F.col("doc_id"), of) == out).alias("held_out"), "lang_pred", "score", "rejected")

@@ -3,7 +3,8 @@
 Trusted positives are documents labelled good; unlabelled ones are the web text at large, good and
 bad. With the class prior the risk of calling a document bad is estimated from both without a
 single negative: the unlabelled risk less what positives contribute to it, held at zero so that the
-model can't fit noise below it. The features are hashed byte n-grams of texts whose letters and
+model can't fit noise below it. Steps on a labelled sample, its labels unread, start the model; then
+the risk is taken over every unlabelled document there is. The features are hashed byte n-grams of texts whose letters and
 digits are folded to shapes, and how often words repeat.
 """
 
@@ -17,11 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formulary.llm.common import fold, per_text
-from formulary.llm.toxicity_kn import _logistic, labelled_sample
+from formulary.llm.common import fold, per_text, small_batches, tidied
+from formulary.llm.toxicity_kn import calibrated, constant, labelled_sample
 
-#: At most about so many positives, and so many unlabelled documents, are fitted on, chosen by the hash of their id.
-POSITIVES, UNLABELLED, LABELLED = 4_000, 8_000, 4_000
+#: Labelled documents that are fitted on, about, chosen by the hash of their id: half of them are trusted if good, half give the prior and the curve.
+SAMPLE = 8_000
+#: Steps over all unlabelled documents, after the sample's.
+WHOLE_STEPS = 3
 BITS, ORDERS = 10, (1, 2, 3)
 EPOCHS, BATCH, RATE, PENALTY, SEED = 12, 256, 0.5, 1e-4, 5
 
@@ -56,6 +59,23 @@ def features(text: str | None) -> np.ndarray:
     return out
 
 
+WIDTH = len(ORDERS) * (1 << BITS) + 4
+
+
+def packed(x: np.ndarray) -> bytes:
+    """A row of features without its zeros: places, then values in half precision."""
+    at = np.flatnonzero(x)
+    return at.astype("<u2").tobytes() + x[at].astype("<f2").tobytes()
+
+
+def unpacked(rows: list[bytes], width: int = WIDTH) -> np.ndarray:
+    out = np.zeros((len(rows), width), np.float32)
+    for row, raw in zip(out, rows, strict=True):
+        half = len(raw) // 2
+        row[np.frombuffer(raw[:half], "<u2")] = np.frombuffer(raw[half:], "<f2")
+    return out
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -70,58 +90,105 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] * margin + self.curve[1], -40, 40)))
 
 
-def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk with the sigmoid loss, by stochastic gradient steps.
+def loss(x: np.ndarray, w: np.ndarray, good: bool) -> tuple[float, np.ndarray]:
+    """Sum of the sigmoid losses of calling rows good (or bad), and its slope. The last weight is the bias."""
+    sign = 1.0 if good else -1.0
+    lost = 1 / (1 + np.exp(np.clip(sign * (x @ w[:-1] + w[-1]), -30, 30)))
+    d = -sign * lost * (1 - lost)
+    return float(lost.sum()), np.append(d @ x, d.sum())
 
-    Risk: prior * loss(positives as good) + max(0, loss(unlabelled as bad) - prior * loss(positives as
-    bad)). Where the second part falls below zero in a batch, the step goes against it instead.
-    """
-    rng, width = np.random.default_rng(seed), positive.shape[1]
-    w, b, speed = np.zeros(width), 0.0, np.full(width + 1, 1e-6)
-    steps = max(1, len(unlabelled) // BATCH)
-    loss = lambda z: 1 / (1 + np.exp(np.clip(z, -30, 30)))  # noqa: E731  of calling a margin z good
+
+def risk(prior: float, positive: float, unlabelled: float) -> float:
+    """Non-negative risk from the mean losses of positives as good and of unlabelled rows as bad. The sigmoid loss of positives as bad is one less theirs as good."""
+    return prior * positive + max(0.0, unlabelled - prior * (1 - positive))
+
+
+def slope(prior: float, positive: tuple[float, np.ndarray], unlabelled: tuple[float, np.ndarray]) -> np.ndarray:
+    """The slope of the risk, from mean losses and their slopes. Where its second part is below zero, the step goes against that part instead."""
+    bad = unlabelled[1] + prior * positive[1]
+    return prior * positive[1] + bad if unlabelled[0] - prior * (1 - positive[0]) >= 0 else -bad
+
+
+def mean_loss(x: np.ndarray, w: np.ndarray, good: bool) -> tuple[float, np.ndarray]:
+    value, change = loss(x, w, good)
+    return value / len(x), change / len(x)
+
+
+class Steps:
+    """Weights moved down a slope, each weight by its own pace."""
+
+    def __init__(self, width: int) -> None:
+        self.w, self.speed = np.zeros(width + 1), np.full(width + 1, 1e-6)
+
+    def take(self, change: np.ndarray) -> None:
+        change = change + np.append(PENALTY * self.w[:-1], 0)
+        self.speed += change * change
+        self.w = self.w - RATE * change / np.sqrt(self.speed)
+
+
+def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = EPOCHS, seed: int = SEED) -> Steps:
+    """Weights that lower the non-negative risk, by stochastic steps."""
+    rng, steps = np.random.default_rng(seed), Steps(positive.shape[1])
+    count = max(1, len(unlabelled) // BATCH)
     for _ in range(epochs):
-        p_order = [rng.permutation(len(positive)) for _ in range(-(-steps * BATCH // len(positive)))]
-        p_order, u_order = np.concatenate(p_order), rng.permutation(len(unlabelled))
-        for k in range(steps):
-            xp, xu = positive[p_order[k * BATCH : (k + 1) * BATCH]], unlabelled[u_order[k * BATCH : (k + 1) * BATCH]]
-            lp, lu = loss(xp @ w + b), loss(-(xu @ w + b))
-            dp, du = lp * (1 - lp), lu * (1 - lu)
-            bad = lu.mean() - prior * (1 - lp).mean()
-            # slopes by margin: of the positives' loss as good (falls), of the unlabelled's as bad (rises), of the positives' as bad (rises)
-            good_slope = -prior * dp / len(xp)
-            bad_slope_u, bad_slope_p = du / len(xu), -prior * dp / len(xp)
-            sp, su = (good_slope + bad_slope_p, bad_slope_u) if bad >= 0 else (-bad_slope_p, -bad_slope_u)
-            grad = np.append(sp @ xp + su @ xu + PENALTY * w, sp.sum() + su.sum())
-            speed += grad * grad
-            step = RATE * grad / np.sqrt(speed)
-            w, b = w - step[:-1], b - step[-1]
-    return w, b
-
-
-def fitted(positive: list[str], unlabelled: list[str], labelled: list[str], labels: np.ndarray) -> Model:
-    """A model of trusted positives and unlabelled texts. labelled gives the class prior, and the curve from margins to probabilities."""
+        p_order = np.concatenate([rng.permutation(len(positive)) for _ in range(-(-count * BATCH // len(positive)))])
+        u_order = rng.permutation(len(unlabelled))
+        for k in range(count):
+            part = slice(k * BATCH, (k + 1) * BATCH)
+            steps.take(slope(prior, mean_loss(positive[p_order[part]], steps.w, True), mean_loss(unlabelled[u_order[part]], steps.w, False)))
+    return steps
+
+
+def whole_loss(docs: DataFrame, w: np.ndarray, text_col: str = "text") -> tuple[float, np.ndarray] | None:
+    """Mean loss of all documents as bad, and its slope; None without documents. Tasks send their sums, which are added up before they come to the driver."""
+    small_batches(docs.sparkSession)
+    told = docs.sparkSession.sparkContext.broadcast(w)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros(WIDTH + 3), 0
+        for b in batches:
+            for at in range(0, len(b), 256):
+                x = np.stack([features(t) for t in b["text"].iloc[at : at + 256]])
+                lost, change = loss(x, told.value, False)
+                total += np.concatenate(([lost, len(x)], change))
+                n += len(x)
+        if n:
+            yield pd.DataFrame({"slot": np.arange(len(total)), "x": total})
+
+    sums = docs.select(F.col(text_col).alias("text")).mapInPandas(tidied(add), "slot int, x double").groupBy("slot").agg(F.sum("x").alias("x")).collect()
+    if not sums:
+        return None
+    total = np.zeros(WIDTH + 3)
+    total[[r["slot"] for r in sums]] = [r["x"] for r in sums]
+    return total[0] / total[1], total[2:] / total[1]
+
+
+def fitted(labelled: DataFrame, unlabelled: DataFrame, whole_steps: int = WHOLE_STEPS) -> Model:
+    """A model of labelled texts (text, y, order) and of all unlabelled ones. Of the labelled, those with an even order are trusted if good; the others give the class prior, serve as unlabelled at the start, and fit the curve from margins to probabilities."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"y": b["y"], "order": b["order"], "x": [packed(features(t)) for t in b["text"]]})
+
+    table = labelled.select("text", F.col("y").cast("int"), "order").mapInPandas(tidied(pack), "y int, order long, x binary").toPandas().sort_values(["order", "x"])
+    even = table["order"] % 2 == 0
+    trusted, rest = table[even & (table["y"] == 1)], table[~even]
+    labels = rest["y"].to_numpy()
     prior = float((labels.sum() + 1) / (len(labels) + 2)) if len(labels) else 0.5
-    width = len(ORDERS) * (1 << BITS) + 4
-    rows = lambda texts: np.stack([features(t) for t in texts]) if len(texts) else np.zeros((0, width), np.float32)
-    if not positive or not unlabelled:
-        return Model(np.zeros(width), 0.0, (0.0, float(np.log(prior / (1 - prior)))), prior)
-    w, b = nnpu(rows(positive), rows(unlabelled), prior)
-    model = Model(w, b, (1.0, 0.0), prior)
-    if len(labels) and labels.min() != labels.max():
-        m = model.margin(rows(labelled))
-        a, c = _logistic(np.stack((m, np.ones(len(m))), 1), labels.astype(float))
-        model.curve = (float(a), float(c))
+    if not len(trusted) or not len(rest):
+        return Model(np.zeros(WIDTH), 0.0, (0.0, float(np.log(prior / (1 - prior)))), prior)
+    positive, wild = unpacked(trusted["x"].tolist()), unpacked(rest["x"].tolist())
+    steps = nnpu(positive, wild, prior)
+    for _ in range(whole_steps):
+        found = whole_loss(unlabelled, steps.w)
+        if found:
+            steps.take(slope(prior, mean_loss(positive, steps.w, True), found))
+    model = Model(steps.w[:-1], float(steps.w[-1]), (0.0, constant(labels)), prior)
+    if labels.min() != labels.max():
+        model.curve = calibrated(model.margin(wild), labels)
     return model
 
 
-def sampled(docs: DataFrame, most: int) -> DataFrame:
-    """About so many documents, by the hash of their id."""
-    n = docs.count()
-    slot = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30))
-    return docs.where(slot < int((1 << 30) * min(1.0, most / max(1, n)))).orderBy(slot, "doc_id").limit(2 * most)
-
-
 def scored(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted): one row per row of docs.
 
@@ -141,11 +208,6 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str =
 def held_out_scores(docs: DataFrame, labels: DataFrame, of: int = 4, out: int = 2, threshold: float = 0.7) -> DataFrame:
     """Learns from labelled rows outside one fold of the ids and from unlabelled text, and scores all: the columns of scored() with held_out."""
     learns = fold(F.col("doc_id"), of) != out
-    labelled = labelled_sample(docs, labels, "quality", learns, POSITIVES + LABELLED)
-    good = labelled["y"] == 1
-    trusted = labelled[good & (labelled["order"] % 2 == 0)]["text"].tolist()[:POSITIVES]
-    rest = labelled[labelled["order"] % 2 == 1]
-    wild = [r[0] for r in sampled(docs.where(learns), UNLABELLED).select(F.coalesce("text", F.lit(""))).collect()]
-    model = fitted(trusted, wild, rest["text"].tolist(), rest["y"].to_numpy())
+    model = fitted(labelled_sample(docs, labels, "quality", learns, SAMPLE), docs.where(learns))
     rows = scored(docs, model, threshold)
     return rows.select("doc_id", (fold(F.col("doc_id"), of) == out).alias("held_out"), "score", "predicted")
