@@ -158,7 +158,7 @@ def split_key(c: Column | str) -> Column:
 
 def cleaned_reference(c: Column | str) -> Column:
     """A reference label of the outside probe, without delimiters, spacing and size commands."""
-    s = F.regexp_replace(F.trim(_col(c)), r"^\$+|\$+$", "")
+    s = F.regexp_replace(F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", ""), r"^\$+|\$+$", "")
     s = F.replace(s, F.lit("\\operatorname{=}"), F.lit("="))
     s = F.regexp_replace(s, r"\\(?:displaystyle|textstyle|,|;|!|quad|left|right)", "")
     return F.replace(F.replace(s, F.lit("{}"), F.lit("")), F.lit("\\prime"), F.lit("'"))

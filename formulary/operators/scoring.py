@@ -14,6 +14,12 @@ def long_predictions(wide: DataFrame, key: str = "id") -> DataFrame:
     return wide.unpivot([key], [c for c in wide.columns if c != key], "system", "hyp").where("hyp is not null")
 
 
+def scored_each(rows: DataFrame, hyp: str = "hyp", ref: str = "target_text") -> DataFrame:
+    """scored(), row by row: for streams, which keep no state then."""
+    h, r = fresh(rows, "_h", "_r")
+    return rows.withColumns({h: norm_latex(hyp), r: norm_latex(ref)}).withColumns(scores(h, r)).drop(h, r)
+
+
 def scored(rows: DataFrame, hyp: str = "hyp", ref: str = "target_text") -> DataFrame:
     """rows with exact, tok_edit, and hits and total of each class. Null counts as the empty formula.
 
@@ -21,8 +27,7 @@ def scored(rows: DataFrame, hyp: str = "hyp", ref: str = "target_text") -> DataF
     """
     h, r = fresh(rows, "_h", "_r")
     pairs = rows.select(F.col(hyp).alias(h), F.col(ref).alias(r)).distinct()
-    (nh, nr) = fresh(pairs, "_nh", "_nr")
-    made = pairs.withColumns({nh: norm_latex(h), nr: norm_latex(r)}).withColumns(scores(nh, nr)).drop(nh, nr)
+    made = scored_each(pairs, h, r)
     return rows.join(made, rows[hyp].eqNullSafe(made[h]) & rows[ref].eqNullSafe(made[r])).drop(h, r)
 
 

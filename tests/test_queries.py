@@ -75,7 +75,7 @@ def test_entry(spark):
 
 def test_streams_give_the_batch_result(spark, tmp_path):
     from formulary.operators.scoring import scored
-    from formulary.streaming.transcripts import fill, scored_stream
+    from formulary.streaming.transcripts import _folders, fill, filled, scored_stream
 
     rows = [(1, 1, "x^2", "x^{2}"), (2, 1, "a", "b"), (1, 2, "y", "x^2")]
     frame = spark.createDataFrame(rows, "id long, seq long, hyp string, target_text string")
@@ -85,7 +85,15 @@ def test_streams_give_the_batch_result(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(str, spark.table("scored_rows").collect())) == sorted(map(str, scored(frame).collect()))
-    q = fill(stream, str(tmp_path / "out"), str(tmp_path / "c2")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted((r["id"], r["hyp"]) for r in spark.read.parquet(str(tmp_path / "out/0")).collect()) == [(1, "y"), (2, "a")]
+    out, want = str(tmp_path / "out"), {}
+    for batch in range(4):
+        if batch:
+            rows = [(batch % 2 + 1, 10 + batch, f"h{batch}", "t"), (100 + batch, 1, "n", "t"), (1, 0, "late", "t")]
+            spark.createDataFrame(rows, frame.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = fill(stream, out, str(tmp_path / "c2"), parts=3).start()
+        q.processAllAvailable()
+        q.stop()
+        for i, seq, hyp, _ in sorted(rows, key=lambda r: r[1]):
+            want[i] = hyp  # a later batch counts more than a larger order
+        assert {r["id"]: r["hyp"] for r in filled(spark, out, frame.schema).collect()} == want
+    assert all(len(made) <= 2 for made in _folders(spark, out).values()) and not list((tmp_path / "out").glob("_batch*"))

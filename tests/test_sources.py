@@ -67,6 +67,27 @@ def test_splits_come_from_file_names(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 5
 
 
+def test_splits_are_folders_and_are_kept_once(spark, tmp_path):
+    from formulary.sources.jsonl import read_document, write_splits
+
+    rows = spark.createDataFrame([(1, "train"), (2, "test"), (3, None)], "id int, split string")
+    write_splits(rows, str(tmp_path / "t"))
+    write_splits(rows.limit(1), str(tmp_path / "t"), once=True)
+    got = spark.read.parquet(str(tmp_path / "t"))
+    assert sorted((r["id"], r["split"] or "") for r in got.collect()) == [(1, "train"), (2, "test"), (3, "")]
+    assert "split" not in spark.read.parquet(str(tmp_path / "t/split=train")).columns
+    (tmp_path / "d.json").write_text('{\n "a": [1, 2],\n "b": {"c": null}\n}')
+    assert read_document(spark, str(tmp_path / "d.json"), "a array<int>, b struct<c:int>").collect()[0]["a"] == [1, 2]
+
+
+def test_references_are_cleaned(spark):
+    from formulary.functions.latex import cleaned_reference
+
+    cases = {"\t$x^{\\prime} \\operatorname{=} {}1$\n": "x^{'} = 1", "\\displaystyle \\left( y \\right)": " ( y )", None: None}
+    rows = spark.createDataFrame([(k,) for k in cases], "s string")
+    assert [r[0] for r in rows.select(cleaned_reference("s")).collect()] == list(cases.values())
+
+
 def test_reports(spark):
     import json
 
