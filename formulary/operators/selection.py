@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from formulary.functions.names import fresh
 
 
 def capped_pick(rows: DataFrame, order: list[Column], n: int = 24, per_domain: int = 3, per_split: int = 10, truth: str = "truth") -> DataFrame:
@@ -12,28 +17,30 @@ def capped_pick(rows: DataFrame, order: list[Column], n: int = 24, per_domain: i
 
     A pick can be passed over for at most n formulas that were picked before, so the first
     per_domain + n different formulas of each domain and split are enough for the walk. Only those
-    few rows meet in one task.
+    few rows meet in one task. Null is a domain, a split and a formula like any other; rows that tie
+    in the order are told apart by nothing else; no rows give none.
     """
-    keyed = rows.withColumn("_key", F.replace(truth, F.lit(" "), F.lit("")))
-    first = F.row_number().over(Window.partitionBy("domain", "split", "_key").orderBy(*order))
-    keyed = keyed.withColumn("_first", first).where("_first = 1")
-    place = F.row_number().over(Window.partitionBy("domain", "split").orderBy(*order))
-    few = keyed.withColumn("_place", place).where(F.col("_place") <= per_domain + n).drop("_first", "_place")
-    few = few.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
-
-    def walk(batches):
-        table = pd.concat(list(batches)).sort_values("_rank")
+    key, first, place, rank = fresh(rows, "_key", "_first", "_place", "_rank")
+    keyed = rows.withColumn(key, F.replace(truth, F.lit(" "), F.lit("")))
+    at = F.row_number().over(Window.partitionBy("domain", "split", key).orderBy(*order))
+    keyed = keyed.withColumn(first, at).where(F.col(first) == 1)
+    at = F.row_number().over(Window.partitionBy("domain", "split").orderBy(*order))
+    few = keyed.withColumn(place, at).where(F.col(place) <= per_domain + n).drop(first, place)
+    few = few.withColumn(rank, F.row_number().over(Window.orderBy(*order)))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), shape).sort_by(rank)  # in Arrow, so that no id becomes a float
         seen, domains, splits, out = set(), {}, {}, []
-        for i, (key, d, s) in enumerate(zip(table["_key"], table["domain"], table["split"], strict=True)):
-            if len(out) < n and key not in seen and domains.get(d, 0) < per_domain and splits.get(s, 0) < per_split:
-                seen.add(key)
+        for i, (k, d, s) in enumerate(zip(*(table[c].to_pylist() for c in (key, "domain", "split")), strict=True)):
+            if len(out) < n and k not in seen and domains.get(d, 0) < per_domain and splits.get(s, 0) < per_split:
+                seen.add(k)
                 domains[d], splits[s] = domains.get(d, 0) + 1, splits.get(s, 0) + 1
                 out.append(i)
-        picked = table.iloc[out]
-        yield picked.assign(pick=range(1, len(out) + 1)).drop(columns=["_key", "_rank"])
+        picked = table.take(pa.array(out, pa.int64())).drop_columns([key, rank])
+        yield from picked.append_column("pick", pa.array(range(1, len(out) + 1), pa.int64())).to_batches()
 
-    schema = few.drop("_key", "_rank").withColumn("pick", F.lit(0).cast("long")).schema
-    return few.coalesce(1).mapInPandas(walk, schema)
+    shape, schema = to_arrow_schema(few.schema), few.drop(key, rank).withColumn("pick", F.lit(0).cast("long")).schema
+    return few.coalesce(1).mapInArrow(walk, schema)
 
 
 def demonstrable(rows: DataFrame) -> DataFrame:
@@ -49,7 +56,8 @@ def demonstration(rows: DataFrame, **caps) -> DataFrame:
 
 def sampled(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """So many rows, the same for the same seed: those with the smallest hash of key and seed."""
-    return rows.withColumn("_h", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))).orderBy("_h", key).limit(n).drop("_h")
+    (h,) = fresh(rows, "_h")
+    return rows.withColumn(h, F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))).orderBy(h, key).limit(n).drop(h)
 
 
 def examples(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:

@@ -61,3 +61,13 @@ def test_a_fallback_replaces_what_is_unsure(spark):
     got = {r["id"]: r["result"] for r in normalize.with_fallback(rows, answer).collect()}
     assert (got[1]["latex"], got[1]["method"], got[1]["confidence"]) == ("x^2 = 2", "llm", 0.9)
     assert got[2]["method"] == "rules" and got[3]["method"] == "passthrough" and got[4]["method"] == "rules"  # what isn't valid doesn't count
+
+
+def test_picks_keep_ids_and_names(spark):
+    from formulary.operators.selection import capped_pick, sampled
+
+    table = [(2**60 + 1, "s", "d", "a b"), (None, "s", "d", "ab"), (5, None, "d", "c"), (6, "s", "e", None), (7, "s", "d", "x"), (8, "s", "d", "y")]
+    rows = with_clashes(spark.createDataFrame(table, "id long, split string, domain string, truth string"))
+    out = capped_pick(rows, [F.col("id").desc()])
+    assert kept(out) and [(r["pick"], r["id"]) for r in out.orderBy("pick").collect()] == [(1, 2**60 + 1), (2, 8), (3, 7), (4, 6)]
+    assert capped_pick(rows.limit(0), [F.col("id")]).count() == 0 and kept(sampled(rows, "id", 3))
