@@ -176,8 +176,7 @@ def _crowded(crowds: DataFrame, rows: DataFrame, keep: Keep, length: int, least:
     pair is ever a row, and a cell's size is bounded, whatever the crowd's.
     """
 
-    def meet(table: pd.DataFrame) -> pd.DataFrame:
-        give_back()
+    def met(table: pd.DataFrame) -> pd.DataFrame:
         some = np.zeros(len(table), bool)
         cell = _Cell(table, keep, least)
         for x, y in cell.partners():
@@ -185,8 +184,7 @@ def _crowded(crowds: DataFrame, rows: DataFrame, keep: Keep, length: int, least:
             some[y] = True
         return cell.table.loc[some]
 
-    def link(table: pd.DataFrame) -> pd.DataFrame:
-        give_back()
+    def linked(table: pd.DataFrame) -> pd.DataFrame:
         cell = _Cell(table, keep, least)
         sets = [np.frombuffer(h, np.uint64) for h in cell.table["hashes"]]
         names, forest = np.unique(cell.group, return_inverse=True)
@@ -204,10 +202,20 @@ def _crowded(crowds: DataFrame, rows: DataFrame, keep: Keep, length: int, least:
         moved = np.flatnonzero(roots != np.arange(len(roots)))
         return pd.DataFrame({"a": names[roots[moved]], "b": names[moved]})
 
-    shape = "crowd long, kind string, i int, j int, side int, row long, group long, n long, sketch binary"
-    near = stored(_cells(crowds).groupBy(*CELL).applyInPandas(meet, shape), "near")
+    def by_cell(of: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(table: pd.DataFrame) -> pd.DataFrame:
+            give_back()
+            return pd.concat([of(cell) for _, cell in table.groupby(CELL, sort=False)])
+
+        return run
+
+    # most cells are small: a task takes several of them at a time
+    cells = stored(_cells(crowds), "cells")
+    buckets = -(-cells.count() // (2 * BLOCK_ROWS)) + 1
+    cells = cells.withColumn("bucket", F.pmod(F.xxhash64(*CELL), F.lit(buckets)))
+    near = stored(cells.groupBy("bucket").applyInPandas(by_cell(met), cells.schema), "near")
     with_sets = near.join(_sets_of(rows, near, "row", length), "row")
-    return with_sets.groupBy(*CELL).applyInPandas(link, "a long, b long")
+    return with_sets.groupBy("bucket").applyInPandas(by_cell(linked), "a long, b long")
 
 
 def firsts(rows: DataFrame, sketch: Callable[[np.ndarray], bytes], keep: Keep, length: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
