@@ -18,13 +18,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formulary.llm.common import fold, per_text, stored, tidied
 
 #: Bounds of the labelled documents that are fitted on, chosen by the hash of their id: about so many, of about so many bytes.
-SAMPLE, SAMPLE_BYTES = 16_000, 96 << 20
+SAMPLE, SAMPLE_BYTES = 16_000, 24 << 20
 #: Words and pairs seen less often in both classes together are left to the counts that both share.
 LEAST_WORD, LEAST_PAIR = 5, 100
 #: Beside what the discounts free, so many counts a word go to the shared continuation counts.
@@ -91,8 +92,10 @@ def learned(code: np.ndarray, near: np.ndarray, toxic: np.ndarray, use: np.ndarr
     here = use & (code >= 0)
     often = np.bincount(code[here], minlength=v) >= least_word
     after = near & use[:-1] & here[1:]
-    known = np.unique(code[:-1][after] << 32 | code[1:][after])  # a word and one before it
-    before = np.bincount(known & 0xFFFFFFFF, minlength=v) + 0.5
+    before = np.full(v, 0.5)
+    for k in range(8):  # a word and one before it, by eighths of the words: the driver's memory is small
+        part = after & (code[1:] % 8 == k)
+        before += np.bincount(np.unique(code[:-1][part] << 32 | code[1:][part]) & 0xFFFFFFFF, minlength=v)
     both = after & here[:-1]
     key = code[:-1][both] * v + code[1:][both]
     share = np.where(often, before, 0.0)
@@ -155,14 +158,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learns: Colu
 def fitted(rows: DataFrame, least_word: int = LEAST_WORD) -> Model:
     """A model of labelled texts (text, y, order). Words are counted by the tasks; the driver gets those that are frequent enough, and texts as their numbers. The curve is fitted on evidence from counts without the text's own fold (order modulo FOLDS)."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for b in batches:
-            for text in b["text"]:
+            for text in b.column(0).to_pylist():
                 seen.update(tokens(text))
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())}, columns=["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-    often = rows.select("text").mapInPandas(tidied(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_word)
+    often = rows.select("text").mapInArrow(tidied(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_word)
     names = sorted(r["word"] for r in often.select("word").collect())
     words = {w: k for k, w in enumerate(names)}
     told = rows.sparkSession.sparkContext.broadcast(words)
