@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formulary.llm import embedding_dedup, language_id, lattice_lm, mixing, packing, quality_pu, quality_rules, simhash_dedup, substring_dedup, toxicity_kn
+from formulary.llm import (
+    embedding_dedup,
+    filter_audit,
+    language_id,
+    lattice_lm,
+    mixing,
+    packing,
+    quality_pu,
+    quality_rules,
+    simhash_dedup,
+    substring_dedup,
+    token_alignment,
+    token_counts,
+    toxicity_kn,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +69,25 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.cells(filter_audit.masked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.SQL, "op6_substring_dedup": substring_dedup.SQL, "op10_embedding_near_dedup": embedding_dedup.SQL}
+    return {"op3_quality_rules": quality_rules.SQL, "op6_substring_dedup": substring_dedup.SQL, "op10_embedding_near_dedup": embedding_dedup.SQL, "op13_filter_audit": filter_audit.SQL}
