@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -153,7 +154,9 @@ def keyed(docs: DataFrame, into: str, id_col: str = "doc_id", text_col: str = "t
     """docs with a whole number that tells rows apart, to link, order and join by: the id where it has one row.
 
     Of rows that share an id one, by the hash of its text, has the id; the others, and rows without an
-    id, come after all ids. Only where there are such rows is a copy of docs stored, which fixes their numbers.
+    id, come after all ids. Where 64 bits have no room for them there they come before all ids, and
+    where they have none there either, in a stretch that no id is in. Only where there are such rows is
+    a copy of docs stored, which fixes their numbers.
     """
     own = docs.where(F.col(id_col).isNotNull())
     shared = own.groupBy(id_col).count().where("count > 1").limit(1).count()
@@ -165,9 +168,25 @@ def keyed(docs: DataFrame, into: str, id_col: str = "doc_id", text_col: str = "t
     pick = F.min(F.struct(F.xxhash64(text_col).alias("hash"), F.col(at).alias("at")))["at"]
     first = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(into)).agg(pick.alias("first"))
     first = first.select(F.col("first").alias(at), into)  # of a hot id, one row joins
-    past = own.agg(F.max(id_col)).first()[0]
-    after = F.lit(0 if past is None else past + 1).cast("long") + F.col(at)
-    return rows.join(first, at, "left").withColumn(into, F.coalesce(F.col(into).cast("long"), after)).select(*docs.columns, into)
+    odd = F.lit(_room(own.select(F.col(id_col).cast("long").alias("id")), 1 + rows.agg(F.max(at)).first()[0])).cast("long") + F.col(at)
+    return rows.join(first, at, "left").withColumn(into, F.coalesce(F.col(into).cast("long"), odd)).select(*docs.columns, into)
+
+
+def _room(ids: DataFrame, n: int) -> int:
+    """Where n whole numbers in a row begin that no id has: past the ids, else before them, else between."""
+    low, high = ids.agg(F.min("id"), F.max("id")).first()
+    least, most = -(1 << 63), (1 << 63) - 1
+    if high is None or high + n <= most:
+        return 0 if high is None else high + 1
+    if low - n >= least:
+        return low - n
+    draw = random.Random(0)
+    while True:
+        tries = [draw.randrange(least, most - n) for _ in range(64)]
+        taken = ids.agg(*(F.count_if(F.col("id").between(t, t + n)).alias(str(k)) for k, t in enumerate(tries))).first()
+        for t, k in zip(tries, taken, strict=True):
+            if not k:
+                return t
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -241,8 +241,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     id reachable by links, kept says that it is the row's own. Null and zero vectors and vectors with
     a null or non-finite component link with nothing, nor do rows without an id, whose component is
     null. Only vectors of the same length are compared. Equal vectors are searched once and counted
-    as often as they occur, so a group of copies costs one search. An empty table gives no rows;
-    other columns aren't read.
+    as often as they occur, so a group of copies costs one search. Rows that share an id are vectors
+    of their own, each with its own links. An empty table gives no rows; other columns aren't read.
 
     Shards have a bounded size; their number, and with it the searches of a vector, follows the data.
     A query in a crowd scans its shards, which costs the crowd's size times the shards' rows.
@@ -253,7 +253,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     good = v.isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(F.forall(v, real) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("v", F.when(good, F.transform(v, lambda x: x + F.lit(0.0))))  # -0.0 becomes 0.0
     valid = rows.where("v is not null")
-    reps = stored(valid.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("v")), "vectors")
+    # rep numbers the distinct vectors: an id may have several
+    one = valid.groupBy("v").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
+    reps = stored(one.withColumns({"dim": F.size("v"), "rep": F.monotonically_increasing_id()}), "vectors")
     n = reps.count()
     shards = max(LEAST_SHARDS, -(-n // shard_rows))
     deal = lambda salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.lit(shards)).cast("int")
@@ -266,8 +268,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = stored(found, "links")
     near = found.where("a = b").groupBy("a").agg(F.sum("links").alias("links"))
     tree = components(found.where("a <> b").select("a", "b"))
-    facts = reps.select("v", "rep", "copies").join(near, F.col("rep") == F.col("a"), "left").join(tree, F.col("rep") == F.col("node"), "left")
-    facts = facts.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    facts = reps.select("v", "rep", "low", "copies").join(near, F.col("rep") == F.col("a"), "left").join(tree, F.col("rep") == F.col("node"), "left")
+    facts = stored(facts.select("v", "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("of")), "facts")
+    lowest = facts.groupBy("of").agg(F.min("low").alias("component_id"))
+    facts = facts.join(lowest, "of").select("v", "n_links", "component_id")
     linked = valid.join(facts, "v").select("vec_id", "n_links", "component_id")
     alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

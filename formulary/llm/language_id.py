@@ -147,12 +147,14 @@ def fitted(rows: list[bytes], languages: list[str], epochs: int = EPOCHS, seed:
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL) -> pd.DataFrame:
-    """(x, lang, order): subwords, packed, of labelled documents, about as many of each language as the bounds allow, by the hash of the id; those without a letter teach nothing. The driver gets no texts."""
+    """(x, lang, order): subwords, packed, of labelled documents, about as many of each language as the bounds allow and one at least, by the hash of id and text; those without a letter teach nothing, and repeated rows teach once. The driver gets no texts."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counts = rows.groupBy("lang").count()
-    each = min(per_language, in_all // max(1, counts.count()))
-    slot = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
-    some = rows.join(counts, "lang").where(slot < F.lit(float(1 << 30)) * each / F.col("count")).select("text", "lang", slot.alias("order"))
+    each = max(1, min(per_language, in_all // max(1, counts.count())))
+    slot = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 30))
+    some = rows.join(counts, "lang").where(slot < F.lit(float(1 << 30)) * each / F.col("count"))
+    some = some.groupBy("lang", F.xxhash64("doc_id", "text", F.lit(17)).alias("h")).agg(F.min("text").alias("text"))
+    some = some.select("text", "lang", F.pmod("h", F.lit(1 << 30)).alias("order"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -63,6 +63,8 @@ class Model:
 
 def _evidence(code: np.ndarray, near: np.ndarray, word: np.ndarray, keys: np.ndarray, pair: np.ndarray) -> np.ndarray:
     """Evidence of each token: that of the pair with the token before it (near says whether there is one), else the word's, else none."""
+    if not len(word):
+        return np.zeros(len(code))
     out = np.where(code >= 0, word[np.maximum(code, 0)], 0.0)
     if len(keys) and len(code) > 1:
         key = code[:-1] * len(word) + code[1:]
@@ -178,7 +180,7 @@ def fitted(rows: DataFrame, least_word: int = LEAST_WORD) -> Model:
 
     table = rows.select("text", F.col("y").cast("int"), "order").mapInPandas(tidied(encode), "y int, order long, code binary").toPandas().sort_values(["order", "code"])
     labels = table["y"].to_numpy()
-    if not len(labels) or labels.min() == labels.max():
+    if not words or not len(labels) or labels.min() == labels.max():  # no word is frequent enough, or no class has a contrast
         return Model({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), (0.0, constant(labels)))
     size = np.array([len(c) // 4 for c in table["code"]])
     code = np.frombuffer(b"".join(table["code"]), np.int32).astype(np.int64)

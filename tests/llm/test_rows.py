@@ -1,13 +1,14 @@
 """What every operator owes to odd rows: exact ids beside nulls, clashing names, no tables left behind."""
 
+import math
 import os
 
 import corpus_pipeline
 import public_tokenizers
 import pytest
 
-from formulary.llm import language_id, lattice_lm, mixing, packing, quality_pu, quality_rules, simhash_dedup, substring_dedup, toxicity_kn
-from formulary.llm.common import scratch, settled, shared_dir, stored
+from formulary.llm import embedding_dedup, language_id, lattice_lm, mixing, packing, quality_pu, quality_rules, simhash_dedup, substring_dedup, toxicity_kn
+from formulary.llm.common import keyed, scratch, settled, shared_dir, stored
 
 BPE, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 IDS = [2**60 + 1, 2**60 + 2, -(2**59) - 1, None, 7]
@@ -75,3 +76,28 @@ def test_intermediate_tables_are_deleted(spark, tmp_path, few):
     before = tables(spark)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= len(IDS)
     assert len(tables(spark) - before) == 2  # the last stage's input, and its first step
+
+
+@pytest.mark.parametrize("ids", [[2**63 - 3, 5, None, None, 5], [-(2**63), 2**63 - 1, None, 0, 0], [-(2**63) + 1, None], [None, None]])
+def test_keys_have_room_beside_any_ids(spark, ids):
+    docs = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["key"]) for r in keyed(docs, "key").collect()]
+    assert key([i for i, _ in got]) == key(ids) and len({k for _, k in got}) == len(ids)
+    own = {i for i in ids if i is not None}
+    assert {i for i, k in got if i == k} >= own
+
+
+def test_vectors_that_share_an_id_have_their_own_links(spark):
+    near = lambda angle: [math.cos(angle), math.sin(angle)]
+    vectors = [(5, near(0.0)), (5, near(1.5)), (1, near(0.1)), (2, near(0.2)), (3, near(1.6)), (5, near(1.5)), (9, near(3.0))]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(frame).collect())
+    want = [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 3, True), (5, 2, 1, False), (5, 2, 3, False), (5, 2, 3, False), (9, 0, 9, True)]
+    assert got == want
+
+
+def test_a_hot_id_with_a_label_of_many_languages_teaches_within_the_bounds(spark):
+    rows = [(7, f"the same id again {k} times", "en") for k in range(400)] + [(7, "le même texte", "fr")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.sample(docs, per_language=50, in_all=60)
+    assert 0 < (got["lang"] == "en").sum() < 120 and (got["lang"] == "fr").sum() <= 1
