@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,29 +27,62 @@ def split_of(key: Column | str, bounds: dict[str, float], rest: str = "train") -
 
 
 def capped(rows: DataFrame, by: list, order: list, most: int, exempt: Column | None = None) -> DataFrame:
-    """The first so many rows of each key; exempt rows always stay and don't count. A null key is a key; rows that tie in order are told apart by nothing else, so either may stay."""
-    free = F.lit(False) if exempt is None else F.coalesce(exempt, F.lit(False))
+    """The first so many rows of each key; exempt rows always stay and don't count. A null key is a key; rows that tie in order are told apart by nothing else, so either may stay.
+
+    Tasks keep that many rows of a key before the shuffle, so a hot key costs no more than others;
+    exempt rows aren't shuffled.
+    """
+    if exempt is not None:
+        free = F.coalesce(exempt, F.lit(False))
+        return rows.where(free).unionByName(capped(rows.where(~free), by, order, most))
     (place,) = fresh(rows, "_place")
-    at = F.row_number().over(Window.partitionBy(*by, free).orderBy(*order))
-    return rows.withColumn(place, at).where(free | (F.col(place) <= most)).drop(place)
+    at = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return rows.withColumn(place, at).where(F.col(place) <= most).drop(place)
+
 
+#: Parts over which rows of one frequent place in the order, or without a place, are spread, and stretches of the order at most.
+SPREAD, STRETCHES = 64, 4096
 
-#: Parts over which rows without a place in the order are spread.
-UNPLACED = 64
+
+def _stretched(rows: DataFrame, order: str, into: str, stretch: int) -> DataFrame:
+    """rows with a struct that sorts like the order and is shared by about so many rows, however the order's values lie: their quantiles bound it."""
+    points = [k / STRETCHES for k in range(1, STRETCHES)]
+    n, found = rows.agg(F.count(order), F.percentile_approx(order, F.lit(points), 4 * STRETCHES)).first()
+    step = max(1, round(STRETCHES * stretch / max(n, 1)))
+    bounds = (found or [])[step - 1 :: step]
+    frequent = sorted({v for v, w in zip(bounds, bounds[1:], strict=False) if v == w})
+    splits = sorted({float(v) for v in bounds} | {math.nextafter(float(v), math.inf) for v in frequent})
+    (at,) = fresh(rows, "_at")
+    if splits:
+        cut = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol=f"{at}_in", outputCol=at, handleInvalid="keep")
+        out = cut.transform(rows.withColumn(f"{at}_in", F.col(order).cast("double"))).drop(f"{at}_in")
+    else:
+        out = rows.withColumn(at, F.lit(0.0))
+    spread = F.pmod(F.xxhash64(*(F.col(c) for c in rows.columns)), F.lit(SPREAD)) + 1
+    here = F.lit(0).cast("long")
+    if frequent:  # such a value is one stretch, between the others that its double stands for
+        own = {bisect.bisect_right(splits, float(v)): v for v in frequent}
+        value = F.element_at(F.create_map(*(F.lit(x) for k, v in own.items() for x in (float(k), v))), F.col(at))
+        here = F.when(F.col(order) == value, spread).when(F.col(order) > value, SPREAD + 1).otherwise(0)
+    lacking = F.col(order).isNull()
+    part = F.struct(F.when(lacking, STRETCHES * 2.0).otherwise(F.col(at)).alias("at"), F.when(lacking, spread).otherwise(here).cast("long").alias("part"))
+    return out.withColumn(into, part).drop(at)
 
 
 def placed(rows: DataFrame, order: str, into: str, stretch: int = 100_000) -> DataFrame:
     """rows with their place, from 0 on, in the order of a whole-number column; rows where it is null come last, and equal ones next to each other.
 
-    Rows are counted by stretches of the column first, so that no task sorts all of them.
+    Rows are counted by stretches between quantiles of the column, so that no task sorts all of them,
+    whether values are dense, sparse or one of them fills many stretches; the starts of the stretches,
+    a few thousand rows at most, are sent to all tasks. Only rows that are alike in every column can't
+    be spread.
     """
-    part, at, start = fresh(rows.withColumn(into, F.lit(0)), "_part", "_at", "_start")
-    lacking = F.lit((1 << 62) // stretch) + F.pmod(F.xxhash64(*rows.columns), F.lit(UNPLACED))
-    split = rows.withColumn(part, F.coalesce(F.floor(F.col(order) / stretch), lacking))
-    split = split.withColumn(at, F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1)
+    part, at, start = fresh(rows.withColumn(into, F.lit(0)), "_part", "_place", "_start")
+    split = _stretched(rows, order, part, stretch)
     before = F.coalesce(F.sum("count").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = split.groupBy(part).count().select(part, before.alias(start))
-    return split.join(starts, part).withColumn(into, F.col(start) + F.col(at)).select(*[c for c in rows.columns if c != into], into)
+    split = split.withColumn(at, F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1)
+    return split.join(F.broadcast(starts), part).withColumn(into, F.col(start) + F.col(at)).select(*[c for c in rows.columns if c != into], into)
 
 
 def numbered(rows: DataFrame, order: str, into: str, pattern: str = "e%06d", stretch: int = 100_000) -> DataFrame:
@@ -54,8 +90,14 @@ def numbered(rows: DataFrame, order: str, into: str, pattern: str = "e%06d", str
     return placed(rows, order, into, stretch).withColumn(into, F.format_string(pattern, F.col(into)))
 
 
+#: So many first rows are picked by the tasks and met in one; more are found by their place.
+FEW = 100_000
+
+
 def first_rows(rows: DataFrame, order: str, n: int) -> DataFrame:
-    """The first n rows in the order of a whole-number column, without a sort of all."""
+    """The first n rows in the order of a whole-number column, nulls last, without a sort of all."""
+    if n <= FEW:
+        return rows.orderBy(F.col(order).asc_nulls_last()).limit(n)
     (at,) = fresh(rows, "_at")
     return placed(rows, order, at).where(F.col(at) < n).drop(at)
 

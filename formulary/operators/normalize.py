@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,9 +20,18 @@ from formulary.functions.spoken import MATH_AT, math_score, tokenize
 _READ = T.StructType([T.StructField("latex", T.StringType()), T.StructField("unknown", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())])
 
 
+#: Results that a process remembers of texts that come again.
+REMEMBERED = 50_000
+
+
+@lru_cache(REMEMBERED)
+def _read_once(tokens: tuple[str, ...]) -> tuple:
+    return read(list(tokens))
+
+
 @F.pandas_udf(_READ)
 def _read(tokens: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read(t) if t is not None else (None, None, None) for t in tokens], columns=["latex", "unknown", "error"])
+    return pd.DataFrame([_read_once(tuple(t)) if t is not None else (None, None, None) for t in tokens], columns=["latex", "unknown", "error"])
 
 
 def canonicalized(rows: DataFrame, text: str | Column = "text", into: str = "result") -> DataFrame:
@@ -67,14 +77,19 @@ def with_fallback(rows: DataFrame, fallback: Callable[[Column], Column], text: s
     return out.withColumn(into, F.when(better, value).otherwise(F.col(into))).drop(other)
 
 
+@lru_cache(REMEMBERED)
+def _text_once(latex: str | None, style: str) -> str:
+    return latex_to_text(latex, style)
+
+
 @F.pandas_udf(T.StringType())
 def _text(latex: pd.Series) -> pd.Series:
-    return latex.map(latex_to_text, na_action=None)
+    return latex.map(lambda s: _text_once(s, "unicode"), na_action=None)
 
 
 @F.pandas_udf(T.StringType())
 def _plain_text(latex: pd.Series) -> pd.Series:
-    return latex.map(lambda s: latex_to_text(s, "plain"), na_action=None)
+    return latex.map(lambda s: _text_once(s, "plain"), na_action=None)
 
 
 def text_of(latex: str | Column, style: str = "unicode") -> Column:

@@ -31,6 +31,21 @@ def scored(rows: DataFrame, hyp: str = "hyp", ref: str = "target_text") -> DataF
     return rows.join(made, rows[hyp].eqNullSafe(made[h]) & rows[ref].eqNullSafe(made[r])).drop(h, r)
 
 
+def pair_counts(rows: DataFrame, *by: str, hyp: str = "hyp", ref: str = "target_text") -> DataFrame:
+    """The distinct pairs of each group, scored, with the rows n that each has: sums need no scores joined back, and a pair that many rows have is counted before the shuffle."""
+    return scored_each(rows.groupBy(*by, hyp, ref).agg(F.count("*").alias("n")), hyp, ref)
+
+
+def aggregated_pairs(pairs: DataFrame, *by: str) -> DataFrame:
+    """aggregated(), from pair_counts()."""
+    n = F.sum("n")
+    out = [n.alias("n"), (F.sum(F.col("exact") * F.col("n")) / n).alias("exact_match"), (F.sum(F.col("tok_edit") * F.col("n")) / n).alias("latex_token_edit")]
+    for name in CLASSES:
+        hit, total = (F.sum(F.col(f"{name}_{c}") * F.col("n")) for c in ("hit", "total"))
+        out += [F.try_divide(hit, total).alias(f"{name}_acc"), total.alias(f"{name}_support")]
+    return pairs.groupBy(*by).agg(*out)
+
+
 def aggregated(rows: DataFrame, *by: str) -> DataFrame:
     """Per group: n, mean exact match and token edit, and each class's accuracy over all its items (null without any) with their number."""
     out = [F.count("*").alias("n"), F.avg("exact").alias("exact_match"), F.avg("tok_edit").alias("latex_token_edit")]
@@ -46,8 +61,9 @@ def word_errors(rows: DataFrame, *by: str, hyp: str = "hyp", ref: str = "spoken_
 
 
 def by_domain(rows: DataFrame, systems: list[str]) -> DataFrame:
-    """A row for each domain: every system's mean exact match, null where it has none, and n as the first system counts it."""
-    wide = rows.groupBy("domain").pivot("system", systems).agg(F.avg("exact").alias("exact"), F.count(F.lit(1)).alias("n"))
+    """A row for each domain: every system's mean exact match, null where it has none, and n as the first system counts it. rows: scored(), or pair_counts() with their n."""
+    n = F.col("n") if "n" in rows.columns else F.lit(1)
+    wide = rows.groupBy("domain").pivot("system", systems).agg((F.sum(F.col("exact") * n) / F.sum(n)).alias("exact"), F.sum(n).alias("n"))
     n = F.coalesce(*(F.col(f"{s}_n") for s in systems))
     return wide.select("domain", *(F.col(f"{s}_exact").alias(s) for s in systems), n.alias("n"))
 

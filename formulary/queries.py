@@ -135,15 +135,19 @@ s AS (SELECT id, split, domain, system, (h = r)::DOUBLE AS exact, {_distance("ht
 {", ".join(f"{_hits(c + '_h', c + '_r')} AS {c}_hit, len({c}_r)::INT AS {c}_total" for c in _CLASS_SQL)} FROM t)"""
 
 
-def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def long_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = pairs(spark, sf_dir).unpivot(["id", "split", "domain", "target_text"], ["rules", "direct"], "system", "hyp")
-    return scoring.scored(long.where("hyp is not null"))
+    return long.where("hyp is not null")
+
+
+def scored_pairs(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
+    return scoring.pair_counts(long_pairs(spark, sf_dir), *by)
 
 
 @query(f"WITH {SCORED} SELECT * FROM s")
 def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions joined to references, one score row each."""
-    return scored_rows(spark, sf_dir).drop("hyp", "target_text")
+    """One score row for each prediction."""
+    return scoring.scored(long_pairs(spark, sf_dir)).drop("hyp", "target_text")
 
 
 _AGG = ", ".join(f"sum({c}_hit)::DOUBLE / nullif(sum({c}_total), 0) AS {c}_acc, sum({c}_total)::BIGINT AS {c}_support" for c in _CLASS_SQL)
@@ -151,17 +155,17 @@ _AGG = ", ".join(f"sum({c}_hit)::DOUBLE / nullif(sum({c}_total), 0) AS {c}_acc,
 
 @query(f"WITH {SCORED} SELECT split, system, count(*) AS n, avg(exact) AS exact_match, avg(tok_edit) AS latex_token_edit, {_AGG} FROM s GROUP BY split, system")
 def metrics_by_system(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.aggregated(scored_rows(spark, sf_dir), "split", "system")
+    return scoring.aggregated_pairs(scored_pairs(spark, sf_dir, "split", "system"), "split", "system")
 
 
 @query(f"WITH {SCORED} SELECT domain, avg(exact) FILTER (system = 'rules') AS rules, avg(exact) FILTER (system = 'direct') AS direct, coalesce(nullif(count(*) FILTER (system = 'rules'), 0), count(*)) AS n FROM s GROUP BY domain")
 def metrics_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.by_domain(scored_rows(spark, sf_dir), ["rules", "direct"])
+    return scoring.by_domain(scored_pairs(spark, sf_dir, "domain", "system"), ["rules", "direct"])
 
 
 @query(f"WITH {SCORED}, m AS (SELECT split, system, avg(exact) AS exact_match, avg(tok_edit) AS latex_token_edit FROM s GROUP BY ALL) SELECT concat_ws('/', split, system, 'exact_match') AS name, exact_match AS value FROM m UNION ALL SELECT concat_ws('/', split, system, 'latex_token_edit'), latex_token_edit FROM m")
 def tracker_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = scoring.aggregated(scored_rows(spark, sf_dir), "split", "system").select("split", "system", "exact_match", "latex_token_edit")
+    m = metrics_by_system(spark, sf_dir).select("split", "system", "exact_match", "latex_token_edit")
     return scoring.flattened(m, "split", "system")
 
 
