@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import nsmallest
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
@@ -16,31 +16,29 @@ from formulary.functions.names import fresh
 class _Capped(StatefulProcessor):
     """Rows of a key that were let through; forgotten after a time without any if one is set."""
 
-    def __init__(self, key: str, order: list[str], most: int, forget_ms: int | None) -> None:
-        self.key, self.order, self.most, self.forget_ms = key, order, most, forget_ms
+    def __init__(self, columns: list[str], order: list[str], most: int, forget_ms: int | None) -> None:
+        self.columns, self.order, self.most, self.forget_ms = columns, order, most, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         state = StructType([StructField("n", LongType())])
         self.passed = handle.getValueState("passed", state, self.forget_ms) if self.forget_ms else handle.getValueState("passed", state)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         passed = self.passed.get()[0] if self.passed.exists() else 0
         if passed >= self.most:
             return
-        room, best = self.most - passed, None
-        for part in rows:  # only the first rows of a hot key are held
-            both = part if best is None else pd.concat((best, part))
-            best = both.sort_values(self.order, kind="stable").head(room)
-        if best is not None and len(best):
-            self.passed.update((passed + len(best),))
-            yield best.drop(columns=[self.key])
+        place = lambda r: [(r[c] is not None, r[c]) for c in self.order]
+        first = nsmallest(self.most - passed, rows, place)  # only these of a hot key are held
+        if first:
+            self.passed.update((passed + len(first),))
+            yield from (Row(**{c: r[c] for c in self.columns}) for r in first)
 
     def close(self) -> None:
         pass
 
 
 def capped_stream(stream: DataFrame, by: list, order: list[str], most: int, exempt: Column | None = None, forget_ms: int | None = None) -> DataFrame:
-    """The first so many rows of each key, over all batches; within a batch by order. Exempt rows always stay and don't count; a null key is a key.
+    """The first so many rows of each key, over all batches; within a batch by order, nulls first. Exempt rows always stay and don't count; a null key is a key.
 
     Where batches cut the order, the rows are those of capped() on all of them. The state of a key is
     one number; with forget_ms it goes that long after the key's last row, and its count starts anew.
@@ -51,8 +49,8 @@ def capped_stream(stream: DataFrame, by: list, order: list[str], most: int, exem
         return stream.where(free).unionByName(capped_stream(stream.where(~free), by, order, most, None, forget_ms))
     (key,) = fresh(stream, "_key")
     keyed = stream.withColumn(key, F.to_json(F.struct(*(c if isinstance(c, Column) else F.col(c) for c in by))))
-    processor = _Capped(key, order, most, forget_ms)
-    return keyed.groupBy(key).transformWithStateInPandas(processor, stream.schema, "Append", "ProcessingTime" if forget_ms else "None")
+    processor = _Capped(stream.columns, order, most, forget_ms)
+    return keyed.groupBy(key).transformWithState(processor, stream.schema, "Append", "ProcessingTime" if forget_ms else "None")
 
 
 #: What a session needs for capped_stream().
