@@ -193,7 +193,7 @@ def _sql(template: str, slots: dict[str, str]) -> str:
             continue
         for piece in re.split(r"([\\'])", text.replace("{{", "{").replace("}}", "}")):
             parts.append({"\\": "chr(92)", "'": "chr(39)"}.get(piece) or f"'{piece}'")
-    return f"concat({', '.join(p for p in parts if p != repr(''))}, '')"
+    return f"concat({', '.join([*(p for p in parts if p != repr('')), repr('')])})"
 
 
 def _choice(cases: list[tuple[str, str]], side: int, slots: dict[str, str]) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from formulary.functions.latex import cleaned_reference
+from formulary.functions.names import fresh
 from formulary.operators import datasets, normalize, scoring
 
 #: What is reported: a view's name, the system whose predictions it reads, and whether they go through the rules.
@@ -23,6 +25,19 @@ def evaluated(predictions: DataFrame, manifest: DataFrame, views: list = VIEWS)
     return {"rows": rows, "metrics": metrics, "domains": scoring.by_domain(rows.withColumn("system", F.col("view")), names)}
 
 
+def probed(rows: DataFrame, heard: str = "heard", tuned: str = "tuned", label: str = "label", spoken: str = "transcription") -> DataFrame:
+    """Metrics of three systems against labels from elsewhere: what was heard as it is (zeroshot) and through the rules, and a tuned system's formulas; word errors of the first against what was spoken.
+
+    Labels are cleaned of delimiters, spacing and size commands. What a system lacks counts as the empty formula.
+    """
+    read, target, system, hyp = fresh(rows, "_read", "_target", "_system", "_hyp")
+    wide = normalize.canonicalized(rows.withColumn(target, cleaned_reference(label)), heard, read)
+    wide = wide.select(target, F.col(heard).alias("zeroshot"), F.col(f"{read}.latex").alias("rules"), F.col(tuned).alias("tuned"))
+    pairs = scoring.pair_counts(wide.unpivot([target], ["zeroshot", "rules", "tuned"], system, hyp), system, hyp=hyp, ref=target)
+    errors = scoring.word_errors(rows.select(F.lit("zeroshot").alias("system"), heard, spoken), "system", hyp=heard, ref=spoken)
+    return scoring.aggregated_pairs(pairs, system).withColumnRenamed(system, "system").join(errors, "system", "left")
+
+
 def dataset(templates: DataFrame, held_out: DataFrame, unseen: DataFrame, composed: DataFrame) -> DataFrame:
     """Expressions with splits and dense ids, from four pools of drawn formulas (ord, latex, …).
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from formulary import phrase_queries
 from formulary.functions import latex, spoken
-from formulary.operators import datasets, normalize, scoring, selection
+from formulary.operators import datasets, scoring, selection
 
 QUERIES: dict = {**phrase_queries.QUERIES}
 ORACLES: dict[str, str] = {**phrase_queries.ORACLES}
@@ -129,12 +129,19 @@ def _distance(a: str, b: str) -> str:
 
 _LONG = "SELECT id, split, domain, target_text, 'rules' AS system, rules AS hyp FROM p UNION ALL SELECT id, split, domain, target_text, 'direct', direct FROM p WHERE direct IS NOT NULL"
 _EACH = ", ".join(f"{f('h')} AS {c}_h, {f('r')} AS {c}_r" for c, f in _CLASS_SQL.items())
-SCORED = f"""p AS ({PAIRS}), l AS ({_LONG}), n AS (SELECT *, {norm_sql("hyp")} AS h, {norm_sql("target_text")} AS r FROM l),
+
+
+def scored_sql(keep: str) -> str:
+    """Common table expressions n, t and s: the rows of l (hyp, target_text and the columns kept) with their scores."""
+    return f"""n AS (SELECT *, {norm_sql("hyp")} AS h, {norm_sql("target_text")} AS r FROM l),
 t AS (SELECT *, {_found("h", latex.TOKEN)} AS ht, {_found("r", latex.TOKEN)} AS rt, {_EACH} FROM n),
-s AS (SELECT id, split, domain, system, (h = r)::DOUBLE AS exact, {_distance("ht", "rt")} / greatest(1, len(rt)) AS tok_edit,
+s AS (SELECT {keep}, (h = r)::DOUBLE AS exact, {_distance("ht", "rt")} / greatest(1, len(rt)) AS tok_edit,
 {", ".join(f"{_hits(c + '_h', c + '_r')} AS {c}_hit, len({c}_r)::INT AS {c}_total" for c in _CLASS_SQL)} FROM t)"""
 
 
+SCORED = f"p AS ({PAIRS}), l AS ({_LONG}), {scored_sql('id, split, domain, system')}"
+
+
 def long_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = pairs(spark, sf_dir).unpivot(["id", "split", "domain", "target_text"], ["rules", "direct"], "system", "hyp")
     return long.where("hyp is not null")
@@ -335,9 +342,21 @@ def report_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.examples(rows, "id", 10, 3)
 
 
-@query(None)
+_PICKS = f"""WITH RECURSIVE p AS ({PAIRS}), q AS (SELECT *, (id % 5)::INT AS difficulty, target_text AS truth, replace(target_text, ' ', '') AS key, coalesce({norm_sql("direct")} = {norm_sql("target_text")}, false) AS ok_rules FROM p
+  WHERE {norm_sql("rules")} = {norm_sql("target_text")} AND length(target_text) > 12 AND length(target_text) < 90),
+o AS (SELECT *, row_number() OVER (ORDER BY ok_rules, split <> 'test_ood', difficulty DESC, length(truth) DESC, id) AS ord FROM q),
+f AS (SELECT *, row_number() OVER (ORDER BY ord) AS place FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY domain, split, key ORDER BY ord) = 1)),
+w(place, keys, domains, splits, picked) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[], []::BIGINT[] UNION ALL
+  SELECT f.place, CASE WHEN fits THEN list_append(keys, f.key) ELSE keys END, CASE WHEN fits THEN list_append(domains, f.domain) ELSE domains END, CASE WHEN fits THEN list_append(splits, f.split) ELSE splits END, CASE WHEN fits THEN list_append(picked, f.id) ELSE picked END
+  FROM (SELECT w.*, f.* EXCLUDE (place), f.place AS next, NOT list_contains(keys, f.key) AND len(picked) < 24 AND len(list_filter(domains, lambda x: x = f.domain)) < 3 AND len(list_filter(splits, lambda x: x = f.split)) < 10 AS fits
+    FROM w JOIN f ON f.place = w.place + 1) x, LATERAL (SELECT x.next AS place, x.key, x.domain, x.split, x.id) f),
+z AS (SELECT unnest(picked) AS id, generate_subscripts(picked, 1) AS pick FROM w WHERE place = (SELECT max(place) FROM f))
+SELECT id, split, domain, difficulty, true AS ok_direct, ok_rules, truth, pick FROM z JOIN o USING (id)"""
+
+
+@query(_PICKS)
 def demo_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy pick under caps of the rows that are right, in the order of a demonstration; tests hold it against a plain loop."""
+    """Greedy pick under caps of the rows that are right, in the order of a demonstration."""
     return selection.demonstration(scored_demo(spark, sf_dir))
 
 
@@ -397,13 +416,6 @@ def running_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- spoken text -----------------------------------------------------------------------------------
 
 
-@query(None)
-def spoken_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens and the mathematics gate; tests hold both against plain Python."""
-    rows = derived(spark, sf_dir, SPOKEN, "part").withColumn("tokens", spoken.tokenize("said"))
-    return rows.select("id", "said", F.array_join("tokens", " ").alias("tokens"), spoken.math_score(F.col("tokens")).alias("math_score"), spoken.is_math(F.col("tokens")).alias("is_math"))
-
-
 _ONES = "['" + "', '".join(spoken.ONES) + "']"
 _TENS = "['" + "', '".join(spoken.TENS) + "']"
 _SAID = f"CASE WHEN n < 20 THEN {_ONES}[n + 1] WHEN n < 100 THEN {_TENS}[n // 10 - 1] || CASE WHEN n % 10 = 0 THEN '' ELSE ' ' || {_ONES}[n % 10 + 1] END WHEN n = 100 THEN 'one hundred' ELSE array_to_string(list_transform(string_split(n::VARCHAR, ''), lambda d: {_ONES}[d::INT + 1]), ' ') END"
@@ -414,33 +426,3 @@ def numbers_in_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, n = F.col("p_partkey"), (F.col("p_partkey") % 150).cast("int")
     return table(spark, sf_dir, "part").select(key.alias("id"), spoken.say_integer(F.when(key % 3 == 0, -n).otherwise(n)).alias("said"))
 
-
-@query(None)
-def normalized_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spoken formulas to LaTeX and to text; tests hold the reader and the renderer against known results."""
-    rows = normalize.canonicalized(derived(spark, sf_dir, SPOKEN, "part"), "said")
-    return rows.select("id", "said", "result.latex", "result.confidence", "result.method", "result.is_math", normalize.text_of("result.latex").alias("shown"))
-
-
-@query(None)
-def metrics_by_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of raw predictions and of the same through the rules."""
-    said = derived(spark, sf_dir, SPOKEN, "part").select("id", F.lit("asr").alias("system"), F.col("said").alias("hyp"), F.concat(F.lit("x^2 = "), F.col("size").cast("string")).alias("target_text"))
-    rows = normalize.viewed(said, [("raw", "asr", False), ("rules", "asr", True)])
-    return scoring.aggregated(scoring.scored(rows), "view")
-
-
-@query(None)
-def formula_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many drawn formulas as there are parts; tests hold their number and properties."""
-    from formulary.sources.formulas import expressions
-
-    return expressions(spark, table(spark, sf_dir, "part").count(), seed=1)
-
-
-@query(None)
-def composed_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many random trees as there are parts; tests hold their number and properties."""
-    from formulary.sources.formulas import composed
-
-    return composed(spark, table(spark, sf_dir, "part").count(), seed=1)

@@ -8,6 +8,7 @@ same rows. Templates marked held out are a pool of their own.
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -15,6 +16,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from formulary.operators.datasets import capped, first_rows
 from formulary.sources.notation import NOTATIONS, POWER, PRODUCT, RELATION, SUM, Piece, formula
@@ -244,3 +246,56 @@ def composed(spark: SparkSession, n: int, seed: int = 0, most_depth: int = 3, mo
     """n random trees, in the order drawn, with the columns of expressions(). A formula that is too long counts as a repeat and is then left out; fewer than n rows only if 30 draws a row don't give them."""
     short = (F.length("latex") <= MOST_TEX) & (F.size(F.split("spoken_text", " ")) <= MOST_WORDS)
     return _until(spark, n, 30, lambda k: tree_record(seed, k, most_depth), lambda rows: capped(rows, [_key()], ["ord"], most_repeats).where(short))
+
+
+# -- formulas for the rows of a table ----------------------------------------------------------------
+
+
+class _Draws:
+    """A table function: formulas until so many are kept, one draw after the other; each (without its spaces) as often as most_repeats allows, and none once the tries are used up."""
+
+    def eval(self, seed: int, n: int, domain: str, held_out: bool, most_repeats: int) -> Iterator[tuple]:
+        pool = Pool(held_out, (domain,) if domain is not None else ())
+        if seed is not None and pool.by_domain:
+            yield from _kept(n or 0, 80, most_repeats, lambda k: record(seed, k, pool))
+
+
+class _Trees:
+    """A table function: random trees until so many are kept. One that is too long counts as a repeat and is left out."""
+
+    def eval(self, seed: int, n: int, most_depth: int, most_repeats: int) -> Iterator[tuple]:
+        short = lambda r: len(r[1]) <= MOST_TEX and len(r[2].split(" ")) <= MOST_WORDS
+        if seed is not None:
+            yield from _kept(n or 0, 30, most_repeats, lambda k: tree_record(seed, k, most_depth or 1), short)
+
+
+def _kept(n: int, tries: int, most_repeats: int, one: Callable[[int], tuple], keep: Callable[[tuple], bool] = lambda r: True) -> Iterator[tuple]:
+    seen: Counter = Counter()
+    kept = 0
+    for k in range(tries * n):
+        row = one(k)
+        key = row[1].replace(" ", "")
+        seen[key] += 1
+        if seen[key] <= most_repeats and keep(row):
+            yield row
+            kept += 1
+            if kept == n:
+                return
+
+
+def drawn_for(rows: DataFrame, seed: str, n: str, domain: str | None = None, held_out: bool = False, most_repeats: int = 40) -> DataFrame:
+    """rows with the columns of expressions(): for each row n formulas of its own seed and domain (null: any), drawn once each. A null seed or number, or a domain that isn't, gives none.
+
+    A row's formulas are one task's work; many are asked for by many rows.
+    """
+    make = udtf(_Draws, returnType=SCHEMA)
+    only = F.col(domain) if domain else F.lit(None)
+    whole = lambda c: F.col(c).cast("long").outer()
+    return rows.lateralJoin(make(whole(seed), whole(n), only.cast("string").outer() if domain else only.cast("string"), F.lit(held_out), F.lit(most_repeats)))
+
+
+def composed_for(rows: DataFrame, seed: str, n: str, most_depth: str, most_repeats: int = 3) -> DataFrame:
+    """rows with the columns of composed(): for each row n random trees of its own seed and depth. A null seed or number gives none."""
+    make = udtf(_Trees, returnType=SCHEMA)
+    whole = lambda c: F.col(c).cast("long").outer()
+    return rows.lateralJoin(make(whole(seed), whole(n), whole(most_depth), F.lit(most_repeats)))

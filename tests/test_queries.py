@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from formulary.queries import ORACLES, QUERIES
+from formulary.registered import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="the generated tables are not here")

@@ -150,3 +150,30 @@ def test_settings(tmp_path):
     there = {"A": "0"}
     apply_settings(tmp_path / ".env", there)
     assert there == {"A": "0", "C": "x=y"} and str(rooted("a/b", "/r")) == "/r/a/b" and str(rooted("/a", "/r")) == "/a"
+
+
+def test_formulas_for_rows_are_plain_draws(spark):
+    from collections import Counter
+
+    from formulary.sources.formulas import Pool, composed_for, drawn_for, record, tree_record
+
+    table = [(1, 5, "cs"), (2, 0, "ml"), (3, 40, "chemistry"), (4, None, "ml"), (None, 3, "ml"), (6, 4, None), (7, 3, "none")]
+    rows = spark.createDataFrame(table, "seed long, n int, only string").repartition(3)
+
+    def plain(n, one, tries, most, keep=lambda r: True):
+        seen, out = Counter(), []
+        for k in range(tries * n):
+            r = one(k)
+            seen[r[1].replace(" ", "")] += 1
+            if len(out) < n and seen[r[1].replace(" ", "")] <= most and keep(r):
+                out.append(r)
+        return out
+
+    want = [(s, n, d, *r) for s, n, d in table if s and n and d != "none" for r in plain(n, lambda k, s=s, d=d: record(s, k, Pool(False, (d,) if d else ())), 80, 2)]
+    got = list(map(tuple, drawn_for(rows, "seed", "n", "only", most_repeats=2).collect()))
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(g[0] == 3 for g in got) <= 40
+    short = lambda r: len(r[1]) <= MOST_TEX and len(r[2].split(" ")) <= MOST_WORDS
+    deep = spark.createDataFrame([(1, 5, 1), (2, 6, 3), (3, 0, 2), (None, 2, 2), (5, 2, None)], "seed long, n int, depth int")
+    want = [(s, n, d, *r) for s, n, d in map(tuple, deep.collect()) if s and n for r in plain(n, lambda k, s=s, d=d: tree_record(s, k, d or 1), 30, 1, short)]
+    assert sorted(map(tuple, composed_for(deep, "seed", "n", "depth", 1).collect()), key=str) == sorted(want, key=str)
+    assert drawn_for(rows.limit(0), "seed", "n").count() == 0
