@@ -105,12 +105,14 @@ _OPEN: list[list[str]] = []
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once to the shared folder and read again: their lineage ends here, so a lost executor costs no recomputation."""
+    """The rows, written once to the shared folder and read again: their lineage ends here, so a lost executor costs no recomputation. What nobody deletes before goes when the driver ends."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/formulary-{name}-{uuid.uuid4().hex}"
     if _OPEN:
         _OPEN[-1].append(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path

@@ -6,7 +6,9 @@ recursion in log space sums all its paths. Whole words are counted with a discou
 off them is the probability of leaving by way of pieces: so the corpus itself says how likely unseen
 words are. Pieces are drawn independently, weighted by the vocabulary's scores and by how often the
 corpus is expected to use them. A text's probability is the product over its words, times the end's;
-over all texts they sum to at most 1, as an unseen word pays for its spelling.
+over all texts they sum to at most 1, as an unseen word pays for its spelling. The contract's base
+score is no such distribution: it charges every unseen word as one unknown type, so on texts with
+unseen words the two numbers measure different things and the base is the higher one.
 """
 
 from __future__ import annotations

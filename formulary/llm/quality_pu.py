@@ -3,14 +3,16 @@
 Trusted positives are documents labelled good; unlabelled ones are the web text at large, good and
 bad. With the class prior the risk of calling a document bad is estimated from both without a
 single negative: the unlabelled risk less what positives contribute to it, held at zero so that the
-model can't fit noise below it. Steps on a labelled sample, its labels unread, start the model; then
+model can't fit noise below it. The prior comes from a model that tells trusted positives from
+unlabelled texts: where it leaves the smallest share of the unlabelled for the share of held-back
+positives, what is left are positives. Steps on a labelled sample, its labels unread, start the model; then
 the risk is taken over every unlabelled document there is. The features are hashed byte n-grams of texts whose letters and
 digits are folded to shapes, and how often words repeat.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,12 +23,14 @@ from pyspark.sql import functions as F
 from formulary.llm.common import fold, per_text, small_batches, tidied
 from formulary.llm.toxicity_kn import calibrated, constant, labelled_sample
 
-#: Labelled documents that are fitted on, about, chosen by the hash of their id: half of them are trusted if good, half give the prior and the curve.
+#: Labelled documents that are fitted on, about, chosen by the hash of their id: half of them are trusted if good, half fit the curve.
 SAMPLE = 8_000
 #: Steps over all unlabelled documents, after the sample's.
 WHOLE_STEPS = 3
 BITS, ORDERS = 10, (1, 2, 3)
 EPOCHS, BATCH, RATE, PENALTY, SEED = 12, 256, 0.5, 1e-4, 5
+#: The class prior: bins of a margin, how far they reach, the chance and the weight of the bound, and the trusted positives that it needs.
+BINS, SPAN, DOUBT, GAMMA, LEAST_HELD = 4096, 30.0, 0.1, 0.01, 20
 
 #: Bytes as shapes: capitals, small letters, digits, bytes of other letters, white space; punctuation stays itself.
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -128,6 +132,15 @@ class Steps:
 
 def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = EPOCHS, seed: int = SEED) -> Steps:
     """Weights that lower the non-negative risk, by stochastic steps."""
+    return _stochastic(positive, unlabelled, lambda p, u: slope(prior, p, u), epochs, seed)
+
+
+def told_apart(positive: np.ndarray, unlabelled: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Steps:
+    """Weights that tell positives from unlabelled rows, both sides counting alike."""
+    return _stochastic(positive, unlabelled, lambda p, u: (p[1] + u[1]) / 2, epochs, seed)
+
+
+def _stochastic(positive: np.ndarray, unlabelled: np.ndarray, change: Callable, epochs: int, seed: int) -> Steps:
     rng, steps = np.random.default_rng(seed), Steps(positive.shape[1])
     count = max(1, len(unlabelled) // BATCH)
     for _ in range(epochs):
@@ -135,7 +148,7 @@ def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
         u_order = rng.permutation(len(unlabelled))
         for k in range(count):
             part = slice(k * BATCH, (k + 1) * BATCH)
-            steps.take(slope(prior, mean_loss(positive[p_order[part]], steps.w, True), mean_loss(unlabelled[u_order[part]], steps.w, False)))
+            steps.take(change(mean_loss(positive[p_order[part]], steps.w, True), mean_loss(unlabelled[u_order[part]], steps.w, False)))
     return steps
 
 
@@ -163,8 +176,52 @@ def whole_loss(docs: DataFrame, w: np.ndarray, text_col: str = "text") -> tuple[
     return total[0] / total[1], total[2:] / total[1]
 
 
+def whole_margins(docs: DataFrame, w: np.ndarray, text_col: str = "text") -> np.ndarray:
+    """How many of all documents have a margin in each of BINS equal bins from -SPAN to SPAN. Tasks send counts."""
+    small_batches(docs.sparkSession)
+    told = docs.sparkSession.sparkContext.broadcast(w)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(BINS, np.int64)
+        for b in batches:
+            n += np.bincount(binned(np.array([features(t) @ told.value[:-1] for t in b["text"]]) + told.value[-1]), minlength=BINS)
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"bin": at, "n": n[at]})
+
+    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(tidied(count), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(BINS, np.int64)
+    out[[r["bin"] for r in rows]] = [r["n"] for r in rows]
+    return out
+
+
+def binned(margins: np.ndarray) -> np.ndarray:
+    return np.clip((margins + SPAN) * (BINS / (2 * SPAN)), 0, BINS - 1).astype(np.int64)
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows, from both sides' counts by bin of a score that tells them apart.
+
+    Above any score, at least so many of the unlabelled must be there as positives make up, so the
+    ratio of the two sides' shares above it bounds the prior; the bin where that bound is least, with
+    what chance may add on either side, gives the estimate.
+    """
+    n_p, n_u = positive.sum(), unlabelled.sum()
+    above_p, above_u = (np.cumsum(c[::-1])[::-1] / max(1, c.sum()) for c in (positive, unlabelled))
+    doubt = np.sqrt(np.log(4 / DOUBT) / (2 * max(1, n_p))) + np.sqrt(np.log(4 / DOUBT) / (2 * max(1, n_u)))
+    use = above_p > 0
+    bound = np.where(use, (above_u + (1 + GAMMA) * doubt) / np.where(use, above_p, 1), np.inf)
+    at = int(np.argmin(bound))
+    return float(np.clip(above_u[at] / above_p[at], 0.01, 0.99))
+
+
 def fitted(labelled: DataFrame, unlabelled: DataFrame, whole_steps: int = WHOLE_STEPS) -> Model:
-    """A model of labelled texts (text, y, order) and of all unlabelled ones. Of the labelled, those with an even order are trusted if good; the others give the class prior, serve as unlabelled at the start, and fit the curve from margins to probabilities."""
+    """A model of labelled texts (text, y, order) and of all unlabelled ones.
+
+    Of the labelled, those with an even order are trusted if good; the others serve as unlabelled at
+    the start, and fit the curve from margins to probabilities. The class prior is estimated from
+    trusted positives that were held back and from the scores of all unlabelled texts; with fewer than
+    LEAST_HELD of them, or no unlabelled text, it is the good ones' share of the others.
+    """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -178,6 +235,12 @@ def fitted(labelled: DataFrame, unlabelled: DataFrame, whole_steps: int = WHOLE_
     if not len(trusted) or not len(rest):
         return Model(np.zeros(WIDTH), 0.0, (0.0, float(np.log(prior / (1 - prior)))), prior)
     positive, wild = unpacked(trusted["x"].tolist()), unpacked(rest["x"].tolist())
+    if len(positive[1::2]) >= LEAST_HELD:
+        apart = told_apart(positive[::2], wild).w
+        there = whole_margins(unlabelled, apart)
+        if there.sum():
+            held = np.bincount(binned(positive[1::2] @ apart[:-1] + apart[-1]), minlength=BINS)
+            prior = estimated_prior(held, there)
     steps = nnpu(positive, wild, prior)
     for _ in range(whole_steps):
         found = whole_loss(unlabelled, steps.w)

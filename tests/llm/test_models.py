@@ -232,3 +232,20 @@ def test_one_step_of_training():
     t.step(x, y, 0.7)
     for new, old, change in zip((t.table, t.heads, t.bias), before, (table, heads, bias), strict=True):
         assert new == pytest.approx(old - 0.7 * change)
+
+
+@pytest.mark.parametrize("share", [0.1, 0.35, 0.8])
+def test_the_prior_is_the_share_of_positives_among_the_unlabelled(share):
+    r = np.random.default_rng(4)
+    margin = lambda n, good: r.normal(2.0 if good else -2.0, 1.5, n)
+    count = lambda x: np.bincount(quality_pu.binned(x), minlength=quality_pu.BINS)
+    unlabelled = np.concatenate((margin(int(20_000 * share), True), margin(20_000 - int(20_000 * share), False)))
+    assert quality_pu.estimated_prior(count(margin(4_000, True)), count(unlabelled)) == pytest.approx(share, abs=0.05)
+
+
+def test_margins_of_all_documents_are_counted(spark):
+    docs = spark.createDataFrame([(t,) for t in ["A b c.", None, "", "x y z", "x y z"]], "text string").repartition(3)
+    w = np.random.default_rng(1).normal(size=quality_pu.WIDTH + 1)
+    margins = np.array([quality_pu.features(r["text"]) @ w[:-1] + w[-1] for r in docs.collect()])
+    assert (quality_pu.whole_margins(docs, w) == np.bincount(quality_pu.binned(margins), minlength=quality_pu.BINS)).all()
+    assert quality_pu.whole_margins(docs.limit(0), w).sum() == 0
