@@ -1,4 +1,4 @@
-"""Settings: files of KEY=VALUE lines, and paths relative to a root."""
+"""Settings: files of KEY=VALUE lines, YAML trees, and paths relative to a root."""
 
 from __future__ import annotations
 
@@ -14,6 +14,26 @@ def read_settings(path: str | Path) -> dict[str, str]:
     return {k.strip(): v.strip() for k, sign, v in pairs if sign and k.strip()}
 
 
+def read_tree(path: str | Path) -> dict:
+    """The settings of a YAML file, nested as they are there. A file that isn't there or is empty has none; one that holds anything but named settings is an error."""
+    import yaml
+
+    file = Path(path)
+    said = yaml.safe_load(file.read_text(encoding="utf-8")) if file.exists() else None
+    if said is not None and not isinstance(said, dict):
+        raise ValueError(f"{path} doesn't hold named settings")
+    return said or {}
+
+
+def setting(tree: dict, name: str, usual=None):
+    """A setting by its names, apart by dots; what is usual where one of them isn't there."""
+    for part in name.split("."):
+        if not isinstance(tree, dict) or part not in tree:
+            return usual
+        tree = tree[part]
+    return tree
+
+
 def apply_settings(path: str | Path, to: MutableMapping[str, str]) -> None:
     """Settings that aren't there yet."""
     for key, value in read_settings(path).items():
