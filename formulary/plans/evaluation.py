@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from formulary.functions.latex import cleaned_reference
 from formulary.functions.names import fresh
 from formulary.operators import datasets, normalize, scoring
+from formulary.sources.grammar import checked_views
 
 #: What is reported: a view's name, the system whose predictions it reads, and whether they go through the rules.
 VIEWS = [("zeroshot", "zeroshot", False), ("rules", "zeroshot", True), ("direct", "canonical", False)]
@@ -18,6 +19,7 @@ def evaluated(predictions: DataFrame, manifest: DataFrame, views: list = VIEWS)
 
     A clip is normalised once and scored once a view; word errors read the prediction as it was.
     """
+    checked_views(views, [c for c in predictions.columns if c != "id"])
     long = scoring.long_predictions(predictions).join(manifest.select("id", "split", "domain", "target_text", "spoken_transcript"), "id")
     rows = scoring.scored(normalize.viewed(long.withColumn("said", F.col("hyp")), views))
     metrics = scoring.aggregated(rows, "split", "view").join(scoring.word_errors(rows, "split", "view", hyp="said"), ["split", "view"])

@@ -136,7 +136,7 @@ def record(seed: int, k: int, pool: Pool = Pool()) -> tuple:
 #: By domain, what a tree begins with; a part that is only a name is grown, the rest is drawn as it stands.
 ROOTS = {
     "algebra": "eq(@, @)|le(@, @)|plus(@, @)|eq(var, @)",
-    "calculus": "int(0|a|1, b|1|pi|inf_, @, x)|sum($1:i|k, 1, n, @)|lim(x|h, 0|inf_, @)|prim(@, x|t)|eq(d(y, x), @)|eq(call(f|g, x), @)",
+    "calculus": "int(0|a|1, b|1|pi|inf_, @, x)|sum($1:i|k, 1, n, @)|lim(x|h, 0|inf_, @)|prim(@, x|t)|eq(d(y, x), @)|eq(call(f|g, x), @)|iint(D|R|S, @, A|V)|dby(@, x|t)|d2by(@, x|t)|pdby(@, x|t)|nablaof(@)",
     "linear_algebra": "det(@)|norm(2|1, @)|inner(@, @)|eq(mul(A, bold(x)), @)",
     "probability": "P(le(X, @))|E(@)|Var(@)|cond(@, Y)",
     "set_theory": "all(x, RR|set)|in(@, set)|cup(set, B|C)|subseteq(A|C, B|U)",

@@ -136,6 +136,11 @@ NOTATIONS = _lines(r"""
     boundary / 4 / \partial %1 / the boundary of %1; partial %1
     int / 2 / \int_%1~^%2~ %3\,d%4 / the integral from %1 to %2 of %3 d %4 / 0 0 2
     prim / 2 / \int %1\,d%2 / the integral of %1 d %2 / 2
+    iint / 2 / \iint_%1 %2\,d%3 / the double integral over %1 of %2 d %3 / 0 2
+    dby / 2 / \frac{d}{d%2} %1 / the derivative of %1 with respect to %2 / 3
+    d2by / 2 / \frac{d^2}{d%2^2} %1 / the second derivative of %1 with respect to %2 / 3
+    pdby / 2 / \frac{\partial}{\partial %2} %1 / the partial derivative of %1 with respect to %2 / 3
+    nablaof / 2 / \nabla (%1) / nabla of %1
     sum / 2 / \sum_{%1=%2}^%3~ %4 / the sum from %1 equals %2 to %3 of %4 / 0 0 0 2
     prod / 2 / \prod_{%1=%2}^%3~ %4 / the product from %1 equals %2 to %3 of %4 / 0 0 0 2
     sumover / 2 / \sum_%1 %2 / the sum over %1 of %2 / 0 2
@@ -247,15 +252,15 @@ def symbol(name: str) -> Piece:
     return Piece(name, said_number(name) if name[0].isdigit() else name)
 
 
-def drawn(alternatives: list, r: random.Random, places: dict[str, Piece]) -> Piece:
+def drawn(alternatives: list, r: random.Random, places: dict[str, Piece], notations: dict[str, Notation] = NOTATIONS) -> Piece:
     """One of the alternatives, drawn all the way down. places holds what $1, $2 … were drawn as."""
     place, name, parts = r.choice(alternatives)
     if name[0] == "$":
         return places[name]
     if parts:
-        out = NOTATIONS[name].of([drawn(p, r, places) for p in parts], r)
+        out = notations[name].of([drawn(p, r, places, notations) for p in parts], r)
     else:
-        out = drawn(tree(PHRASES[name]), r, places) if name in PHRASES else symbol(name)
+        out = drawn(tree(PHRASES[name]), r, places, notations) if name in PHRASES else symbol(name)
     if place:
         places[place] = out
     return out

@@ -150,3 +150,58 @@ def test_yaml_settings(tmp_path):
     assert read_tree(tmp_path / "c.yaml") == read_tree(tmp_path / "none.yaml") == {}
     with pytest.raises(ValueError):
         read_tree(tmp_path / "b.yaml")
+
+
+def test_models_see_batches_and_rows_keep_their_ids(spark):
+    from formulary.operators.models import predicted
+
+    rows = [(2**60 + k if k % 5 else None, None if k % 7 == 0 else f"{'x' * (k % 13)}{k}", {"a": k}) for k in range(60)] + [(1, "bad", None), (2, "bad", None), (3, "worse", None)]
+    frame = spark.createDataFrame(rows, "id long, said string, more struct<a: int>").repartition(2)
+
+    def load():
+        def model(items):
+            assert len(items) <= 8 and None not in items
+            if "bad" in items:
+                raise RuntimeError("can't")
+            return [None if x == "worse" else f"{x}!" for x in items]
+
+        return model
+
+    for size in (None, len):
+        out = predicted(frame, load, "said", into="heard", batch=8, size=size)
+        assert out.columns == ["id", "said", "more", "heard"]
+        got = sorted(((r["id"], r["said"], r["more"] and r["more"]["a"], r["heard"]["value"], r["heard"]["error"]) for r in out.collect()), key=repr)
+        want = [(i, s, m and m["a"], None if s in (None, "bad", "worse") else f"{s}!", "RuntimeError: can't" if s == "bad" else None) for i, s, m in rows]
+        assert got == sorted(want, key=repr)
+    numbers = predicted(frame, lambda: lambda items: [len(x) for x in items], "said", "int", "said", 5)
+    assert numbers.schema["said"].dataType["value"].dataType.simpleString() == "int" and predicted(frame.limit(0), load, "said").count() == 0
+
+
+def test_templates_and_notations_of_a_user(spark):
+    from formulary.sources.formulas import Pool
+    from formulary.sources.grammar import Grammar, checked_views
+
+    own = Grammar().with_notation(r"choose / 4 / \binom{%1}{%2} / %1 choose %2; %1 over %2 chosen / 4 4").with_template("games", 2, "hands", "eq(choose(n|m, k|2), number)", weight=50.0)
+    own = own.with_template("cs", 3, "subsets", "O(choose(n, k))", held_out=True)
+    rows = own.expressions(spark, 400, seed=5).collect()
+    games = [r for r in rows if r["domain"] == "games"]
+    assert len(games) > 250 and all(r["latex"].startswith(r"\binom{") and "cho" in r["spoken_text"] for r in games) and not any(r["heldout"] for r in rows)
+    assert [tuple(r) for r in rows[:20]] == [own.record(5, k) for k in range(20)]
+    held = own.expressions(spark, 200, 1, Pool(held_out=True, domains=("cs",))).collect()
+    assert {r["template"] for r in held} == {"cs.subsets"} and own.expressions(spark, 9, 1, Pool(domains=("no",))).count() == 0
+    assert not Grammar().notations and own.weights == {"games": 50.0}
+    for line in ("eq / 0 / %1 %2 / %1 is %2", "two / 4 / %1 / %1 %2", "three / 9 / %1 / %1", "four / 4 / x / y", "five", "var / 4 / %1 / %1"):
+        with pytest.raises(ValueError):
+            Grammar().with_notation(line)
+    odd = Grammar().with_notation(r"open / 4 / {%1 / open %1").with_notation(r"raw / 4 / \mycommand %1 / raw %1").with_notation(r"mute / 4 / %1 / \%1")
+    for text in ("open(x)", "raw(x)", "mute(x)", "missing(x)", "eq(x)"):
+        with pytest.raises(ValueError):
+            odd.with_template("cs", 1, "odd", text)
+    for bad in ({"domain": "cs", "difficulty": 9, "name": "n", "text": "x"}, {"domain": "cs", "difficulty": 1, "name": "growth", "text": "x"}, {"domain": "new", "difficulty": 1, "name": "n", "text": "x", "weight": 0}):
+        with pytest.raises(ValueError):
+            Grammar().with_template(**bad)
+    good = [("raw", "a", False), ("rules", "a", True)]
+    assert checked_views(good, ["a"]) == good
+    for views, systems in ((good, ["b"]), ([*good, ("raw", "a", True)], ["a"]), ([("x", "a", 1)], ["a"])):
+        with pytest.raises(ValueError):
+            checked_views(views, systems)
