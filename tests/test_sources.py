@@ -177,3 +177,15 @@ def test_formulas_for_rows_are_plain_draws(spark):
     want = [(s, n, d, *r) for s, n, d in map(tuple, deep.collect()) if s and n for r in plain(n, lambda k, s=s, d=d: tree_record(s, k, d or 1), 30, 1, short)]
     assert sorted(map(tuple, composed_for(deep, "seed", "n", "depth", 1).collect()), key=str) == sorted(want, key=str)
     assert drawn_for(rows.limit(0), "seed", "n").count() == 0
+
+
+def test_careful_trees_are_read_back(spark):
+    from formulary.sources.careful import careful
+
+    rows = careful(spark, 1000, seed=1).cache()
+    assert rows.count() == 1000 and rows.select("domain").distinct().count() == 10
+    assert rows.where(~valid_latex("latex") | (F.length("latex") > MOST_TEX) | (F.size(F.split("spoken_text", " ")) > MOST_WORDS)).count() == 0
+    back = canonicalized(rows, "spoken_text")
+    share = back.select(F.avg((norm_latex("latex") == norm_latex("result.latex")).cast("double"))).first()[0]
+    assert share > 0.98
+    assert rows.where("spoken_text like '%times%'").count() > 5 and rows.where("spoken_text like '%open paren%'").count() > 100
