@@ -1,10 +1,25 @@
-"""Files in a shared folder, for code of data sources, which has no session: driver and tasks open the same store."""
+"""Folders that driver and executors share, and files in them for code of data sources, which has no session."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyarrow import fs
+from pyspark.sql import SparkSession
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that spark.checkpoint.dir names; it goes when the driver ends. Only a local session may leave the setting out: elsewhere a folder of the driver would be its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = f"{(named or tempfile.mkdtemp(prefix='formulary-')).rstrip('/')}/formulary-{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path
 
 
 class Folder:
@@ -17,8 +32,10 @@ class Folder:
         return f"{self.root.rstrip('/')}/{name}".rstrip("/")
 
     def names(self, name: str) -> list[str]:
-        """Names in a folder of it, sorted; none if it isn't there."""
-        found = self.store.get_file_info(fs.FileSelector(self.at(name), allow_not_found=True))
+        """Names in a folder of it, sorted; none if it isn't there or is a file."""
+        if self.store.get_file_info(self.at(name)).type != fs.FileType.Directory:
+            return []
+        found = self.store.get_file_info(fs.FileSelector(self.at(name)))
         return sorted(f.base_name for f in found)
 
     def open_to_write(self, name: str):

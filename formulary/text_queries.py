@@ -16,6 +16,8 @@ from formulary.operators import datasets, normalize, scoring
 from formulary.phrase_queries import SLOTS, _choice
 from formulary.plans import evaluation
 from formulary.queries import _AGG, _WORDS, _distance, derived, query, scored_sql, table
+from formulary.sources import scan
+from formulary.sources.folders import shared_folder
 
 CASES = [
     ("the integral from zero to pie of x squared dx {k}.", "the integral from zero to pie of x squared d x {k}", 6.5, r"\int_0^\pi x^2\,dx{k}", 1.0, "rules", "∫₀^π x² dx{k}"),
@@ -130,6 +132,24 @@ def timed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.candidates(docs, duration="seconds", keywords=_TIMED, core=["license"]).select("doc_id", "seconds", F.array_join("keywords", " ").alias("keywords"))
 
 
+_SCANNED, _WANTED = 7_000, 400
+
+
+@query(f"""WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents)
+SELECT doc_id, place FROM d WHERE (len(list_intersect(w, {_TIMED})) >= 2 OR list_has_any(w, ['license'])) AND place < {_SCANNED} ORDER BY place LIMIT {_WANTED}""")
+def scanned_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bounded scan of documents, in their order, as a stream of batches into a log: it ends with so many rows read or so many accepted, which is the feature."""
+    out = shared_folder(spark, "scan")
+    accept = lambda rows: datasets.candidates(rows, keywords=_TIMED, core=["license"]).select("doc_id", scan.PLACE)
+    writer, schema = scan.scanning(spark, f"{sf_dir}/documents.parquet", out, accept, _SCANNED, _WANTED, batch_rows=_SCANNED // 7)
+    run = writer.start()
+    try:
+        run.processAllAvailable()
+    finally:
+        run.stop()
+    return scan.accepted(spark, out, schema, _WANTED)
+
+
 # -- formulas drawn for rows ---------------------------------------------------------------------------
 
 
