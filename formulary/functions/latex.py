@@ -123,9 +123,11 @@ leftrightarrow Leftrightarrow top mathsf mathscr boldsymbol dot ddot underline k
 
 def balanced(c: Column | str) -> Column:
     """Each kind of bracket on its own: never closed before it opens, and closed in the end."""
-    chars = F.split(F.coalesce(_col(c), F.lit("")), "")
+    text = F.coalesce(_col(c), F.lit(""))
 
     def one(a: str, b: str) -> Column:
+        chars = F.split(F.regexp_replace(text, rf"[^\{a}\{b}]+", ""), "")  # only these are walked
+
         def step(s: Column, x: Column) -> Column:
             depth = s["d"] + (x == a).cast("int") - (x == b).cast("int")
             return F.struct(depth.alias("d"), (s["ok"] & (depth >= 0)).alias("ok"))
@@ -144,11 +146,10 @@ def valid_latex(c: Column | str) -> Column:
 
 
 def md5_share(c: Column | str, of: int = 10_000) -> Column:
-    """md5 of the text as a 128-bit number, modulo of. Halves are taken apart, as a number so long has no type."""
+    """md5 of the text as a 128-bit number, modulo of (2^30 at most). Its hexadecimal digits are taken 15 at a time, the most that fit a long."""
     h = F.md5(_col(c).cast("binary"))
-    half = lambda at: F.conv(F.substring(h, at, 16), 16, 10).cast("decimal(20,0)")
-    up = pow(2, 64, of)
-    return F.pmod(F.pmod(half(1), F.lit(of)) * up + F.pmod(half(17), F.lit(of)), F.lit(of)).cast("int")
+    digits = lambda at, n: F.conv(F.substring(h, at, n), 16, 10).cast("long") % of
+    return ((digits(1, 2) * pow(2, 120, of) + digits(3, 15) * pow(2, 60, of) + digits(18, 15)) % of).cast("int")
 
 
 def split_key(c: Column | str) -> Column:

@@ -123,7 +123,12 @@ def _in_train() -> Column:
 def without(rows: DataFrame, others: DataFrame, text: str, key: Callable[[str], Column]) -> DataFrame:
     """rows whose text, under a key, is none of the others' texts. A row whose key is null stays."""
     (own,) = fresh(rows, "_key")
-    return rows.withColumn(own, key(text)).join(others.select(key(text).alias(own)).distinct(), own, "left_anti").select(rows.columns)
+    return rows.withColumn(own, key(text)).join(_keys(others, text, key, own), own, "left_anti").select(rows.columns)
+
+
+def _keys(rows: DataFrame, text: str, key: Callable[[str], Column], into: str) -> DataFrame:
+    """The different keys of texts, made once for each different text."""
+    return rows.select(text).distinct().select(key(text).alias(into)).distinct()
 
 
 def leak_free(rows: DataFrame, text: str = "latex") -> DataFrame:
@@ -139,10 +144,10 @@ def unbanned(rows: DataFrame, banned: DataFrame, text: str = "latex") -> DataFra
 
 def leakage(rows: DataFrame, text: str = "target_text") -> DataFrame:
     """(split, train_overlap): rows of each other split whose normal form train holds; 0 for a clean split. Rows without a split are a split, null."""
-    key, hit = fresh(rows, "_key", "_hit")
-    train = rows.where(_in_train()).select(norm_latex(text).alias(key)).distinct().withColumn(hit, F.lit(1))
-    others = rows.where(~_in_train()).withColumn(key, norm_latex(text))
-    return others.join(train, key, "left").groupBy("split").agg(F.count(hit).alias("train_overlap"))
+    key, hit, n = fresh(rows, "_key", "_hit", "_n")
+    train = _keys(rows.where(_in_train()), text, norm_latex, key).withColumn(hit, F.lit(1))
+    others = rows.where(~_in_train()).groupBy("split", text).agg(F.count("*").alias(n)).withColumn(key, norm_latex(text))
+    return others.join(train, key, "left").groupBy("split").agg(F.coalesce(F.sum(F.when(F.col(hit).isNotNull(), F.col(n))), F.lit(0)).alias("train_overlap"))
 
 
 def synthesized(spoken: DataFrame, made: DataFrame, order: str = "ord") -> DataFrame:
