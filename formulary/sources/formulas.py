@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from formulary.operators.datasets import capped, first_rows
+from formulary.sources.folders import shared_folder
 from formulary.sources.notation import NOTATIONS, POWER, PRODUCT, RELATION, SUM, Piece, formula
 
 # How often a domain is drawn, for templates and for trees.
@@ -211,22 +212,25 @@ def _alternatives(text: str) -> list[str]:
 # -- tables ---------------------------------------------------------------------------------------
 
 
-def _drawn(spark: SparkSession, n: int, one: Callable[[int], tuple]) -> DataFrame:
+def _drawn(spark: SparkSession, n: int, one: Callable[[int], tuple], first: int = 0) -> DataFrame:
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame([one(int(k)) for k in b["id"]], columns=COLUMNS)
 
-    return spark.range(n).mapInPandas(make, SCHEMA)
+    return spark.range(first, n).mapInPandas(make, SCHEMA)
 
 
 def _until(spark: SparkSession, n: int, tries: int, one: Callable[[int], tuple], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The first n rows that are kept, of as many draws as that takes, tries times n at most."""
-    draws = n
+    """The first n rows that are kept, of as many draws as that takes, tries times n at most. Draws are stored, so each is made once."""
+    if not n:
+        return _drawn(spark, 0, one)
+    into, done, draws = shared_folder(spark, "draws"), 0, n
     while True:
-        rows = keep(_drawn(spark, draws, one))
-        if draws >= tries * n or (draws > n or n == 0) and rows.count() >= n:
+        _drawn(spark, draws, one, done).write.mode("append").parquet(into)
+        rows = keep(spark.read.schema(SCHEMA).parquet(into))
+        if draws >= tries * n or rows.count() >= n:
             return first_rows(rows, "ord", n)
-        draws = min(tries * n, 2 * draws)
+        done, draws = draws, min(tries * n, 2 * draws)
 
 
 def _key() -> Column:
