@@ -20,6 +20,8 @@ from formulary.llm.common import fold, per_text, tidied
 
 #: At most about so many texts of each language, and about so many in all, are trained on, chosen by the hash of their id.
 PER_LANGUAGE, IN_ALL = 1_500, 12_000
+#: So many languages' counts, a few bytes each, are sent to all tasks; more are joined.
+LISTED = 10_000
 BITS, ORDERS, WIDTH = 11, (2, 3, 4), 16
 EPOCHS, BATCH, RATE, SEED = 15, 64, 2.0, 3
 #: A prediction is rejected below the score under which this share of right held-back predictions lies.
@@ -150,7 +152,10 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_A
     """(x, lang, order): subwords, packed, of labelled documents, about as many of each language as the bounds allow and one at least, by the hash of id and text; those without a letter teach nothing, and repeated rows teach once. The driver gets no texts."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counts = rows.groupBy("lang").count()
-    each = max(1, min(per_language, in_all // max(1, counts.count())))
+    languages = counts.count()
+    each = max(1, min(per_language, in_all // max(1, languages)))
+    if languages <= LISTED:  # else texts would be dealt by language
+        counts = F.broadcast(counts)
     slot = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 30))
     some = rows.join(counts, "lang").where(slot < F.lit(float(1 << 30)) * each / F.col("count"))
     some = some.groupBy("lang", F.xxhash64("doc_id", "text", F.lit(17)).alias("h")).agg(F.min("text").alias("text"))
