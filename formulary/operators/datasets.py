@@ -50,8 +50,8 @@ def _stretched(rows: DataFrame, order: str, into: str, stretch: int) -> DataFram
     n, found = rows.agg(F.count(order), F.percentile_approx(order, F.lit(points), 4 * STRETCHES)).first()
     step = max(1, round(STRETCHES * stretch / max(n, 1)))
     bounds = (found or [])[step - 1 :: step]
-    frequent = sorted({v for v, w in zip(bounds, bounds[1:], strict=False) if v == w})
-    splits = sorted({float(v) for v in bounds} | {math.nextafter(float(v), math.inf) for v in frequent})
+    frequent = sorted({float(v) for v, w in zip(bounds, bounds[1:], strict=False) if v == w})
+    splits = sorted({float(v) for v in bounds} | {math.nextafter(v, math.inf) for v in frequent})
     (at,) = fresh(rows, "_at")
     if splits:
         cut = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol=f"{at}_in", outputCol=at, handleInvalid="keep")
@@ -60,10 +60,15 @@ def _stretched(rows: DataFrame, order: str, into: str, stretch: int) -> DataFram
         out = rows.withColumn(at, F.lit(0.0))
     spread = F.pmod(F.xxhash64(*(F.col(c) for c in rows.columns)), F.lit(SPREAD)) + 1
     here = F.lit(0).cast("long")
-    if frequent:  # such a value is one stretch, between the others that its double stands for
-        own = {bisect.bisect_right(splits, float(v)): v for v in frequent}
-        value = F.element_at(F.create_map(*(F.lit(x) for k, v in own.items() for x in (float(k), v))), F.col(at))
-        here = F.when(F.col(order) == value, spread).when(F.col(order) > value, SPREAD + 1).otherwise(0)
+    if frequent:  # a double may stand for several values: those that are frequent are stretches of their own, between the others
+        hot = rows.where(F.col(order).cast("double").isin(frequent)).groupBy(order).count().where(F.col("count") >= stretch)
+        own: dict[float, list[int]] = {}
+        for v in sorted(r[0] for r in hot.collect()):  # each fills a stretch, so there are as many as stretches at most
+            own.setdefault(float(bisect.bisect_right(splits, float(v))), []).append(v)
+        if own:
+            values = F.element_at(F.create_map(*(F.lit(x) for k, vs in own.items() for x in (k, vs))), F.col(at))
+            zone = F.size(F.filter(values, lambda v: v < F.col(order))) * (SPREAD + 1) + F.when(F.array_contains(values, F.col(order)), spread).otherwise(0)
+            here = F.when(values.isNotNull(), zone).otherwise(0)
     lacking = F.col(order).isNull()
     part = F.struct(F.when(lacking, STRETCHES * 2.0).otherwise(F.col(at)).alias("at"), F.when(lacking, spread).otherwise(here).cast("long").alias("part"))
     return out.withColumn(into, part).drop(at)

@@ -71,3 +71,28 @@ def test_picks_keep_ids_and_names(spark):
     out = capped_pick(rows, [F.col("id").desc()])
     assert kept(out) and [(r["pick"], r["id"]) for r in out.orderBy("pick").collect()] == [(1, 2**60 + 1), (2, 8), (3, 7), (4, 6)]
     assert capped_pick(rows.limit(0), [F.col("id")]).count() == 0 and kept(sampled(rows, "id", 3))
+
+
+def test_places_of_sparse_frequent_and_huge_values(spark):
+    import random
+
+    r = random.Random(3)
+    keys = [r.randrange(-(2**62), 2**62) for _ in range(1500)] + [2**62 + 7] * 900 + [2**62 + 6, 2**62 + 8, 2**62 + 9] * 20 + [None] * 150 + list(range(400)) + [-(2**63), 2**63 - 1]
+    rows = with_clashes(spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "ord long, n int").repartition(5))
+    out = datasets.placed(rows, "ord", "place", stretch=100).cache()
+    got = sorted((x["place"], x["ord"]) for x in out.where("ord is not null").collect())
+    assert kept(out) and [p for p, _ in got] == list(range(len(keys) - 150)) and [k for _, k in got] == sorted(k for k in keys if k is not None)
+    assert sorted(x["place"] for x in out.where("ord is null").collect()) == list(range(len(keys) - 150, len(keys)))
+    assert sorted(x["n"] for x in out.collect()) == list(range(len(keys)))
+    split = datasets._stretched(rows, "ord", "part", 100)
+    assert max(x["count"] for x in split.groupBy("part").count().collect()) < 400  # also of the value that 900 rows have
+    first = datasets.first_rows(rows, "ord", 50).collect()
+    assert sorted(x["ord"] for x in first) == sorted(k for k in keys if k is not None)[:50]
+
+
+def test_caps_keep_exempt_rows_and_hot_keys_apart(spark):
+    rows = spark.createDataFrame([(k, "hot" if k % 3 else None, k % 7 == 0) for k in range(200)], "id long, key string, free boolean").repartition(4)
+    out = datasets.capped(rows, ["key"], ["id"], 3, F.col("free"))
+    want = {k for k in range(200) if k % 7 == 0} | {1, 2, 4} | {3, 6, 9}
+    assert {r["id"] for r in out.collect()} == want
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
