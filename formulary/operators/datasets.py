@@ -46,10 +46,13 @@ SPREAD, STRETCHES = 64, 4096
 
 def _stretched(rows: DataFrame, order: str, into: str, stretch: int) -> DataFrame:
     """rows with a struct that sorts like the order and is shared by about so many rows, however the order's values lie: their quantiles bound it."""
-    points = [k / STRETCHES for k in range(1, STRETCHES)]
-    n, found = rows.agg(F.count(order), F.percentile_approx(order, F.lit(points), 4 * STRETCHES)).first()
-    step = max(1, round(STRETCHES * stretch / max(n, 1)))
-    bounds = (found or [])[step - 1 :: step]
+    n, bounds = rows.agg(F.count(order)).first()[0], []
+    if n > stretch:
+        asked = min(STRETCHES, 1 << (8 * n // stretch).bit_length())
+        points = ", ".join(f"{k / asked}D" for k in range(1, asked))
+        found = rows.select(F.col(order).alias("v")).agg(F.expr(f"percentile_approx(v, array({points}), {4 * asked})")).first()[0]
+        step = max(1, round(asked * stretch / n))
+        bounds = found[step - 1 :: step]
     frequent = sorted({float(v) for v, w in zip(bounds, bounds[1:], strict=False) if v == w})
     splits = sorted({float(v) for v in bounds} | {math.nextafter(v, math.inf) for v in frequent})
     (at,) = fresh(rows, "_at")
