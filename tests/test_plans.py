@@ -33,3 +33,22 @@ def test_word_error_rate(spark):
 
     assert [r[0] for r in rows.select(word_error_rate("hyp", "ref")).collect()] == [0.0, 2.0, 1.0]
     assert scoring.running_loss(spark.range(1, 21).selectExpr("id step", "cast(id as double) loss")).orderBy("upto").collect() == [(10, 5.5), (20, 15.5)]
+
+
+def test_metrics_worked_out_by_hand(spark):
+    from pytest import approx
+
+    from formulary.plans.evaluation import evaluated
+
+    clips = [(1, "test", "algebra", "x^{2}", "x squared"), (2, "test", "algebra", r"\frac{a}{b}", "a over b"), (3, "test", "calculus", r"\alpha+1", "alpha plus one"), (4, "test", "calculus", "y = 2", "y equals two"), (5, "hard", "ml", "z", "z")]
+    manifest = spark.createDataFrame(clips, "id long, split string, domain string, target_text string, spoken_transcript string")
+    said = [(1, "x squared", "x^2"), (2, "a over b", r"\frac{a}{c}"), (3, "alpha plus one", None), (4, "y equals three", "y=2"), (9, "not in the manifest", "q")]
+    out = evaluated(spark.createDataFrame(said, "id long, zeroshot string, canonical string"), manifest)
+    got = {r["view"]: r for r in out["metrics"].collect()}
+    assert {v: (r["split"], r["n"]) for v, r in got.items()} == {"zeroshot": ("test", 4), "rules": ("test", 4), "direct": ("test", 3)}
+    assert got["zeroshot"]["exact_match"] == 0 and got["rules"]["exact_match"] == 0.75 and got["direct"]["exact_match"] == approx(2 / 3)
+    assert (got["rules"]["greek_acc"], got["rules"]["greek_support"]) == (1.0, 1) and (got["direct"]["greek_acc"], got["direct"]["greek_support"]) == (None, 0)
+    assert got["zeroshot"]["wer_vs_spoken"] == got["rules"]["wer_vs_spoken"] == approx(1 / 12)  # one word of three, in one of four
+    assert got["rules"]["latex_token_edit"] == approx(1 / 12)  # y=3 for y=2: one token of three, in one of four
+    domains = {r["domain"]: (r["zeroshot"], r["rules"], r["direct"], r["n"]) for r in out["domains"].collect()}
+    assert domains == {"algebra": (0.0, 1.0, 0.5, 2), "calculus": (0.0, 0.5, 1.0, 2)}
