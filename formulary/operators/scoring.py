@@ -60,9 +60,9 @@ def word_errors(rows: DataFrame, *by: str, hyp: str = "hyp", ref: str = "spoken_
     return rows.groupBy(*by).agg(F.avg(word_error_rate(hyp, ref)).alias("wer_vs_spoken"))
 
 
-def by_domain(rows: DataFrame, systems: list[str]) -> DataFrame:
-    """A row for each domain: every system's mean exact match, null where it has none, and n as the first system counts it. rows: scored(), or pair_counts() with their n."""
-    n = F.col("n") if "n" in rows.columns else F.lit(1)
+def by_domain(rows: DataFrame, systems: list[str], times: str | None = None) -> DataFrame:
+    """A row for each domain: every system's mean exact match, null where it has none, and n as the first system counts it. times names the column that says for how many rows one stands, as n does in pair_counts()."""
+    n = F.col(times) if times else F.lit(1)
     wide = rows.groupBy("domain").pivot("system", systems).agg((F.sum(F.col("exact") * n) / F.sum(n)).alias("exact"), F.sum(n).alias("n"))
     n = F.coalesce(*(F.col(f"{s}_n") for s in systems))
     return wide.select("domain", *(F.col(f"{s}_exact").alias(s) for s in systems), n.alias("n"))

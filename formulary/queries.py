@@ -167,7 +167,7 @@ def metrics_by_system(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SCORED} SELECT domain, avg(exact) FILTER (system = 'rules') AS rules, avg(exact) FILTER (system = 'direct') AS direct, coalesce(nullif(count(*) FILTER (system = 'rules'), 0), count(*)) AS n FROM s GROUP BY domain")
 def metrics_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.by_domain(scored_pairs(spark, sf_dir, "domain", "system"), ["rules", "direct"])
+    return scoring.by_domain(scored_pairs(spark, sf_dir, "domain", "system"), ["rules", "direct"], "n")
 
 
 @query(f"WITH {SCORED}, m AS (SELECT split, system, avg(exact) AS exact_match, avg(tok_edit) AS latex_token_edit FROM s GROUP BY ALL) SELECT concat_ws('/', split, system, 'exact_match') AS name, exact_match AS value FROM m UNION ALL SELECT concat_ws('/', split, system, 'latex_token_edit'), latex_token_edit FROM m")
